@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.langid import op5_language_id
 from folio.llm.near_dedup import op9_bag_minhash
+from folio.llm.secrets import op1_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op5_language_id": op5_language_id,
         "op9_bag_minhash": op9_bag_minhash,
     }
 
