@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.idstore import op6_content_store
 from folio.llm.langid import op5_language_id
 from folio.llm.near_dedup import op9_bag_minhash
+from folio.llm.packing import op10_pack_documents
 from folio.llm.secrets import op1_secret_scan
 
 
@@ -15,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op5_language_id": op5_language_id,
+        "op6_content_store": op6_content_store,
         "op9_bag_minhash": op9_bag_minhash,
+        "op10_pack_documents": op10_pack_documents,
     }
 
 
