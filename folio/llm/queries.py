@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.idstore import op6_content_store
 from folio.llm.langid import op5_language_id
+from folio.llm.mixing import mix_sql, op3_mix_sources
 from folio.llm.near_dedup import op9_bag_minhash
 from folio.llm.packing import op10_pack_documents
 from folio.llm.secrets import op1_secret_scan
@@ -16,6 +17,7 @@ from folio.llm.secrets import op1_secret_scan
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_mix_sources": op3_mix_sources,
         "op5_language_id": op5_language_id,
         "op6_content_store": op6_content_store,
         "op9_bag_minhash": op9_bag_minhash,
@@ -24,4 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mix_sources": mix_sql(),
+    }
