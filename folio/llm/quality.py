@@ -28,7 +28,7 @@ X = [f"x{i}" for i in range(5)]
 #: The median of chi-square with five degrees of freedom (fixed value).
 CHI_MEDIAN = 4.35146
 #: Standard deviations below which a statistic is not told apart, added in squares to the covariance.
-FLOORS = (0.2, 0.05, 0.03, 0.05, 0.1)
+FLOORS = (0.2, 0.05, 0.03, 0.15, 0.2)
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
