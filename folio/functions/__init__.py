@@ -1 +1 @@
-
+"""Column functions: selectors, encryption, values."""

@@ -1 +1 @@
-
+"""The registered queries, each with SQL of the same meaning."""

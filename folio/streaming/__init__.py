@@ -1 +1 @@
-
+"""Change feeds, live views and replication."""
