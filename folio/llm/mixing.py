@@ -6,15 +6,16 @@ cell's multiplier is its raked weight over its tokens. Documents are then drawn
 min(1, scale * multiplier), where the scale makes the expected tokens a given share of all; cells that would exceed 1 are
 held at 1 and the scale is solved for the others. A document's draw is a hash of its doc_id, so it is the same in every run.
 
-Only the cells' totals are iterated over. Joins carry cells and margins, and a document meets its cell by an equi-join that
-Spark may broadcast or split; no document is grouped. Nulls in a dimension are a value of their own (shown as null). Null or
+Only the cells' totals are iterated over; a window over one value's cells holds as many rows as the other dimensions have
+combinations, however many documents those stand for. A document meets its cell by an equi-join that Spark may broadcast or
+split; no document is grouped. Nulls in a dimension are a value of their own (shown as null). Null or
 empty texts have no tokens and get their cell's probability; a cell without tokens has multiplier 0. Rows with equal doc_id,
 or null ones, are drawn alike. An empty table gives an empty result. Extra columns are kept by `mixed`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import table, written
@@ -44,16 +45,19 @@ def flattened(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, every: int = 2) -> DataFrame:
-    """cells with weight: their tokens, raked to the targets' shares (weights sum to 1). Values without a target get 0."""
+    """cells with weight: their tokens, raked to the targets' shares (weights sum to 1). Values without a target get 0.
+
+    The targets are joined to the cells once; a step then takes one window sum over the cells of each value, and no join."""
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        now = now.join(target.select(F.col("value").alias("__v"), F.col("share").alias(f"__goal_{dimension}")), F.col(dimension).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn(f"__goal_{dimension}", F.coalesce(f"__goal_{dimension}", F.lit(0.0)))
     for i in range(rounds):
-        for dimension, target in targets.items():
-            sums = now.groupBy(F.col(dimension).alias("__v")).agg(F.sum("weight").alias("__sum"))
-            goal = sums.join(target, F.col("__v").eqNullSafe(F.col("value")), "left").select("__v", F.when(F.col("__sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("__sum")).otherwise(0.0).alias("__by"))
-            now = now.join(goal, F.col(dimension).eqNullSafe(F.col("__v"))).select(*cells.columns, (F.col("weight") * F.col("__by")).alias("weight"))
+        for dimension in targets:
+            total = F.sum("weight").over(Window.partitionBy(dimension))
+            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * (F.col(f"__goal_{dimension}") / total)).otherwise(0.0))
         if (i + 1) % every == 0:
             now = written(now, "raked")
-    return now
+    return now.drop(*(f"__goal_{d}" for d in targets))
 
 
 def probabilities(raked: DataFrame, share: float) -> DataFrame:
