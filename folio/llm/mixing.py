@@ -41,7 +41,8 @@ def flattened(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """(value, share): targets in proportion to the margin's tokens to a power."""
     margin = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     raised = margin.select("value", F.pow("tokens", F.lit(power)).alias("raised"))
-    return raised.crossJoin(raised.agg(F.sum("raised").alias("all"))).select("value", (F.col("raised") / F.col("all")).alias("share"))  # one row on the right
+    total = raised.agg(F.sum("raised")).first()[0] or 1.0
+    return raised.select("value", (F.col("raised") / F.lit(total)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, every: int = 2) -> DataFrame:
