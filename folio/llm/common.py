@@ -83,8 +83,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every larger neighbour of a node is linked to the least node of its neighbourhood
         all_ = both(edges)
-        least = all_.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = all_.join(least, all_.a == least.u).where("b > a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
+        least = written(all_.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = all_.join(least, all_.a == least.u).where("b > a").select(F.col("m").alias("a"), "b").where("a != b")
         # small star: a node and its smaller neighbours are linked to the least of them
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(least, large.b == least.u).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x != y")
