@@ -6,7 +6,7 @@ encryption function draws a new iv for every evaluation, so encrypted rows are t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,3 +47,14 @@ def decrypt(df: DataFrame, model: ClassModel, key: bytes | None) -> DataFrame:
     visible = [a.name for a in model.attributes if a not in sealed and a.name in df.columns]
     shown = F.coalesce(*(F.when(col(n).isNotNull(), True) for n in visible), F.lit(False)) if visible else F.lit(False)
     return df.where(shown).withColumns({a.name: F.lit(None).cast(a.spark_type()) for a in sealed})
+
+
+def wrap_key(spark: SparkSession, key: bytes, by: bytes) -> str:
+    """A key sealed by another one, in base64."""
+    return spark.range(1).select(F.base64(F.aes_encrypt(F.lit(key), F.lit(by), F.lit("GCM")))).first()[0]
+
+
+def unwrap_key(spark: SparkSession, wrapped: str, by: bytes) -> bytes | None:
+    """The sealed key; None if `by` is not the key that sealed it."""
+    found = spark.range(1).select(F.try_aes_decrypt(F.unbase64(F.lit(wrapped)), F.lit(by), F.lit("GCM"))).first()[0]
+    return bytes(found) if found is not None else None

@@ -24,3 +24,9 @@ def export(df: DataFrame, path: str, kind: str = "json", mode: str = "errorifexi
 def class_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The documents of a class kept as one Parquet table below root."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in any store that Spark reads; nothing happens if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,9 @@ them by. SQL is Spark's, over views named as the classes; "double quotes" make i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +16,20 @@ from pyspark.sql import types as T
 
 from folio.functions import crypto
 from folio.functions.selectors import find
+from folio.functions.values import derived_key
 from folio.operators import relations
 from folio.operators.hooks import Jobs, Trigger, apply_triggers
 from folio.operators.patches import Patch, pending
-from folio.operators.policies import Policy, Session, allowed, ensure_writable
+from folio.operators.policies import NotAuthenticated, Policy, Session, allowed, ensure_writable
 from folio.operators.relations import Domain
 from folio.operators.rows import sequential_ids
 from folio.operators.validation import ensure_valid, missing_targets, propagate
+from folio.sources import files
 from folio.sources.documents import DocumentLog
-from folio.sources.schema import ClassModel, col
+from folio.sources.schema import Attribute, ClassModel, col
 
 EDGE_MODEL = ClassModel("~edges")
+USER = ClassModel("User", (Attribute("username", mandatory=True, primary_key=True), Attribute("salt"), Attribute("sealed"), Attribute("groups", is_array=True)))
 EDGE_STRUCT = T.StructType([T.StructField(c.strip("`"), T.StringType()) for c in relations.EDGE])
 
 
@@ -41,6 +46,77 @@ class Stack:
     triggers: list[Trigger] = field(default_factory=list)
     jobs: Jobs = field(default_factory=Jobs)
     version: str | None = None
+    generation: dict[str, int] = field(default_factory=dict)
+
+    # the catalog: classes, relations, policies and version; triggers and jobs are code and registered anew
+    def save(self) -> None:
+        """Appends the catalog to the stack's folder; open() reads the last."""
+        text = json.dumps({"classes": [asdict(c) for c in self.classes.values()], "domains": [asdict(d) for d in self.domains.values()], "policies": [asdict(p) for p in self.policies], "version": self.version, "encrypts": self.encrypts, "generation": self.generation})
+        number = (self._catalogs().agg(F.max("number")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(number, text)], "number long, text string").write.mode("append").parquet(f"{self.path}/~catalog")
+
+    def _catalogs(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("number long, text string").parquet(f"{self.path}/~catalog")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "number long, text string")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, encrypts: bool = False, **how) -> Stack:
+        """A stack with the catalog that was saved last; whether it encrypts can't change."""
+        stack = cls(spark, path, encrypts=encrypts, **how)
+        last = stack._catalogs().agg(F.max_by("text", "number")).first()[0]
+        if last is None:
+            return stack
+        kept = json.loads(last)
+        if kept["encrypts"] != encrypts:
+            raise ValueError(f"the stack was made with encrypts={kept['encrypts']}")
+        for c in kept["classes"]:
+            attributes = tuple(Attribute(**a | {"values": tuple(a["values"])}) for a in c.pop("attributes"))
+            stack.classes[c["name"]] = ClassModel(attributes=attributes, **c)
+        stack.domains = {d["name"]: Domain(**d) for d in kept["domains"]}
+        stack.policies = [Policy(**p | {"operations": tuple(p["operations"])}) for p in kept["policies"]]
+        stack.version, stack.generation = kept["version"], kept["generation"]
+        return stack
+
+    def drop_class(self, name: str) -> None:
+        """Forgets a class and deletes its documents."""
+        model = self.classes.pop(self.model(name).name)
+        files.remove(self.spark, self._log(model).path)
+        self.generation.pop(model.name, None)
+
+    def reset(self) -> None:
+        """Deletes everything below the stack's folder, and forgets it."""
+        files.remove(self.spark, self.path)
+        for kept in (self.classes, self.domains, self.policies, self.triggers, self.generation):
+            kept.clear()
+        self.version = None
+
+    def export(self, path: str, kind: str = "json") -> None:
+        """Writes what the session may read of every class, a folder each."""
+        for name in self.classes:
+            files.export(self.scan(name), f"{path}/{name}", kind)
+
+    # users
+    def create_user(self, username: str, password: str, groups: tuple[str, ...] = ()) -> None:
+        """A user whose password seals the stack's key."""
+        self.classes.setdefault("User", USER)
+        salt = os.urandom(16)
+        sealed = crypto.wrap_key(self.spark, self.key or b"", derived_key(password, salt))
+        row = (f"User-{username}", username, salt.hex(), sealed, list(groups))
+        self.write("User", self.spark.createDataFrame([row], "_id string, username string, salt string, sealed string, groups array<string>"))
+
+    def authenticate(self, username: str, password: str) -> Session:
+        """Opens the user's session; a wrong name or password is an error."""
+        user = self._log(USER).documents().where(F.col("username") == username).first()
+        key = crypto.unwrap_key(self.spark, user["sealed"], derived_key(password, bytes.fromhex(user["salt"]))) if user else None
+        if key is None:
+            raise NotAuthenticated("wrong name or password")
+        self.key = key or None
+        self.session = Session(username, user["_id"], tuple(user["groups"] or ()))
+        return self.session
 
     # classes and relations
     def create_class(self, model: ClassModel, default_policy: bool = False) -> ClassModel:
@@ -81,15 +157,13 @@ class Stack:
         return T.StructType([T.StructField(f.name, crypto.STORED, True) if f.name in sealed else T.StructField(f.name, f.dataType, True) for f in model.struct()])
 
     def _log(self, model: ClassModel) -> DocumentLog:
-        generation = getattr(self, "_generation", {}).get(model.name, 0)
+        generation = self.generation.get(model.name, 0)
         return DocumentLog(self.spark, f"{self.path}/{generation}" if generation else self.path, model, self._struct(model))
 
     def _store(self, model: ClassModel, docs: DataFrame, fresh_folder: bool = False) -> int:
         sealed = crypto.encrypt(docs, model, self.key) if self.encrypts else docs
         if fresh_folder:  # another schema: the old files stay in the old folder
-            docs_now = sealed
-            self._generation = getattr(self, "_generation", {}) | {model.name: getattr(self, "_generation", {}).get(model.name, 0) + 1}
-            return self._log(model).append(docs_now)
+            self.generation[model.name] = self.generation.get(model.name, 0) + 1
         return self._log(model).append(sealed)
 
     # reading

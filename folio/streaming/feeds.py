@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from folio.sources.documents import latest
+from folio.sources.documents import DocumentLog, latest
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType, cls: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -54,3 +54,16 @@ def replicate(feed: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
 def windowed_counts(feed: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts by tumbling windows of event time, in a stream or a table; rows later than the watermark are left out of a stream."""
     return feed.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
+
+
+def into_log(log: DocumentLog) -> Callable[[DataFrame, int], None]:
+    """A sink for replicate(): the newest revision of each document is written over the log's, the last writer winning."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = latest(batch)
+        for active in (True, False):
+            part = now.where(F.col("active") == active)
+            if part.limit(1).count():
+                log.append(part, active)
+
+    return write

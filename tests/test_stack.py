@@ -12,7 +12,8 @@ from folio.operators.relations import Domain
 from folio.operators.validation import ValidationError
 from folio.sources.schema import Attribute, ClassModel, entity_diagram
 from folio.sources.stack import Stack
-from folio.streaming.feeds import change_feed, current, last_batch, live_view
+from folio.sources.documents import DocumentLog
+from folio.streaming.feeds import change_feed, current, into_log, last_batch, live_view, replicate
 
 
 @pytest.fixture
@@ -182,3 +183,50 @@ def test_selector_of_nested_and_null_values(spark):
     assert ids({"s": {"xs": {"$size": 2}}}) == [1]
     with pytest.raises(ValueError, match="unknown operator"):
         find(df, {"i": {"$near": 1}})
+
+
+def test_catalog_is_kept_and_reset(spark, tmp_path):
+    path = str(tmp_path / "s")
+    stack = Stack(spark, path)
+    stack.create_class(ClassModel("Doc", (Attribute("v", "enum", values=("a", "b")),), "about"), default_policy=True)
+    stack.create_class(ClassModel("Other", (Attribute("w"),)))
+    stack.create_domain(Domain("to", "N:N", "Doc", "Other"))
+    stack.session = Session("ann")
+    stack.write("Doc", frame(spark, [("a",)], "v string"))
+    stack.change_class(stack.model("Doc").with_attribute(Attribute("n", "integer", default=3)))
+    stack.save()
+    again = Stack.open(spark, path, session=Session("bob"))
+    assert again.classes == stack.classes and again.domains == stack.domains and again.policies == stack.policies
+    assert [(r.v, r.n) for r in again.scan("Doc").collect()] == [("a", 3)]
+    with pytest.raises(ValueError, match="encrypts=False"):
+        Stack.open(spark, path, encrypts=True)
+    again.export(str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "Doc")).count() == 1
+    again.drop_class("Doc")
+    assert "Doc" not in again.classes
+    again.reset()
+    assert Stack.open(spark, path).classes == {}
+
+
+def test_users(spark, tmp_path):
+    stack = Stack(spark, str(tmp_path / "s"), key=bytes(32), encrypts=True)
+    stack.create_class(ClassModel("Doc", (Attribute("t"), Attribute("v", encrypted=True))))
+    stack.write("Doc", frame(spark, [("t", "x")], "t string, v string"))
+    stack.create_user("ann", "pw", ("g",))
+    other = Stack(spark, str(tmp_path / "s"), encrypts=True, classes=dict(stack.classes))
+    assert [r.v for r in other.scan("Doc").collect()] == [None]
+    for name, password in (("ann", "no"), ("eve", "pw")):
+        with pytest.raises(NotAuthenticated):
+            other.authenticate(name, password)
+    assert other.authenticate("ann", "pw").groups == ("g",) and [r.v for r in other.scan("Doc").collect()] == ["x"]
+
+
+def test_replication_into_another_log(spark, stack, tmp_path):
+    model = stack.create_class(ClassModel("Doc", (Attribute("v", "integer"),)))
+    stack.write("Doc", frame(spark, [(1,), (2,)], "v long"))
+    stack.write("Doc", frame(spark, [("Doc-1", 5)], "_id string, v long"))
+    stack.delete("Doc", frame(spark, [("Doc-2",)], "_id string"))
+    remote = DocumentLog(spark, str(tmp_path / "remote"), model)
+    feed = change_feed(spark, f"{stack.path}/Doc", model.struct())
+    replicate(feed, into_log(remote), str(tmp_path / "c"), seconds=None).awaitTermination()
+    assert [(r._id, r.v) for r in remote.documents().collect()] == [("Doc-1", 5)] and remote.documents(inactive=True).count() == 2
