@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]"
 X = [f"x{i}" for i in range(5)]
 #: The median of chi-square with five degrees of freedom (fixed value).
 CHI_MEDIAN = 4.35146
+#: Into how many parts a group may be dealt.
+SALTS = 32
 #: Standard deviations below which a statistic is not told apart, added in squares to the covariance.
 FLOORS = (0.2, 0.05, 0.03, 0.15, 0.2)
 
@@ -88,31 +90,38 @@ def with_factor(moments: DataFrame) -> DataFrame:
     return out.select("group", *(f"m{i}" for i in range(5)), *(f"l{i}{j}" for i in range(5) for j in range(i + 1)))
 
 
+def salted(rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (group, salt) with the columns of per_group (group). The few rows of per_group are repeated for every salt, so that
+    a large group is dealt to many tasks, and sums over groups that follow are shuffled anew, after partial aggregation."""
+    repeated = per_group.withColumnRenamed("group", "__g").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(repeated, (F.col("group") == F.col("__g")) & (F.col("salt") == F.col("__s")), how).drop("__g", "__s")
+
+
 def with_distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """rows with d2, their squared Mahalanobis distance, by forward substitution, and the group's means."""
-    out = rows.join(factors.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left")
+    out = salted(rows, factors, "left")
     for i in range(5):
         z = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
             z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
         out = out.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
     total = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, 5)), F.col("z0") * F.col("z0"))
-    return out.withColumn("d2", total).drop("g", *(f"z{i}" for i in range(5)), *(f"l{i}{j}" for i in range(5) for j in range(i + 1)))
+    return out.withColumn("d2", total).drop(*(f"z{i}" for i in range(5)), *(f"l{i}{j}" for i in range(5) for j in range(i + 1)))
 
 
 def robust_factors(rows: DataFrame, coverage: float = 0.75, steps: int = 4) -> DataFrame:
     """group, means, Cholesky factor and scale of the used rows (group, x0..x4) of each group."""
-    used = rows.where("used").select("group", *X)
+    used = rows.where("used").select("group", "salt", *X)
     median = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(1000))
-    centre = used.groupBy(F.col("group").alias("g")).agg(*(median(x).alias(f"m{i}") for i, x in enumerate(X)))
-    moved = used.join(centre, F.col("group") == F.col("g"))
+    centre = used.groupBy("group").agg(*(median(x).alias(f"m{i}") for i, x in enumerate(X)))
+    moved = salted(used, centre)
     spread = moved.groupBy("group").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(5)), *(median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(X)))
     first = spread.select("group", *(f"m{i}" for i in range(5)), *((F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(5) for j in range(i + 1)))
     factors = written(first, "factors")
     for _ in range(steps):
-        near = with_distance(used, factors).select("group", *X, "d2")
-        limit = near.groupBy(F.col("group").alias("g")).agg(F.percentile_approx("d2", F.lit(coverage), F.lit(1000)).alias("limit"))
-        core = near.join(limit, (F.col("group") == F.col("g")) & (F.col("d2") <= F.col("limit")))
+        near = with_distance(used, factors).select("group", "salt", *X, "d2")
+        limit = near.groupBy("group").agg(F.percentile_approx("d2", F.lit(coverage), F.lit(1000)).alias("limit"))
+        core = salted(near, limit).where("d2 <= limit")
         moments = core.groupBy("group").agg(*(F.avg(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.avg(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i in range(5) for j in range(i + 1)))
         factors = written(with_factor(moments), "factors")
     scale = with_distance(used, factors).groupBy(F.col("group").alias("g")).agg(F.greatest(F.lit(1.0), median("d2") / CHI_MEDIAN).alias("scale"))
@@ -123,7 +132,7 @@ def judged(docs: DataFrame, least: int = 100, cutoff: float = 60.0, **how) -> Da
     """doc_id, lang, source, the statistics, base_failed, d2 and kept of every row of docs (doc_id, text, lang, source)."""
     stats = text_statistics(docs)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rows = written(with_group(written(with_vector(stats.withColumn("base_failed", failed)).withColumn("used", ~F.col("base_failed")), "statistics"), least), "grouped")
+    rows = written(with_group(written(with_vector(stats.withColumn("base_failed", failed)).withColumn("used", ~F.col("base_failed")), "statistics"), least).withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")), "grouped")
     counts = rows.where("used").groupBy(F.col("group").alias("gc")).agg(F.count("*").alias("n_used"))
     factors = robust_factors(rows, **how).join(counts, F.col("group") == F.col("gc")).where(F.col("n_used") >= least).drop("gc", "n_used")
     far = with_distance(rows, factors).withColumn("d2", F.col("d2") / F.col("scale"))
