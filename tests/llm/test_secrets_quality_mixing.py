@@ -1,0 +1,112 @@
+import collections
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folio.llm import mixing, quality, secrets
+
+
+def test_forest_tells_secrets_from_numbers_and_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = secrets.findings(docs).toPandas()
+    truth = found.value.str.fullmatch(r"[0-9a-f]{18}|[0-9a-f]{40}|AKIA[A-Z0-9]{16}")
+    assert truth.sum() > 5 and (found.is_secret == truth).all()
+    assert found.probability.between(0, 1).all()
+
+
+def test_own_labels_and_one_class(spark):
+    rows = [(i, f'x token = "{i:03d}ab9c8d7e6f5a4b3c2d1e{i}" y 45391488034364{i:02d}') for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mine = lambda f: f.withColumn("label", F.col("value").rlike("[a-f]").cast("double"))
+    found = secrets.findings(docs, labels=mine).toPandas()
+    assert (found.is_secret == found.value.str.contains("[a-f]")).all() and len(found) == 120
+    none = secrets.findings(docs, labels=lambda f: f.withColumn("label", F.lit(None).cast("double"))).toPandas()
+    assert not none.is_secret.any()
+
+
+def test_redaction_keeps_rows_and_columns(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = secrets.redacted(docs)
+    assert out.schema.names == docs.schema.names and out.count() == docs.count()
+    row = out.where("doc_id = 10").first()
+    assert "[SECRET]" in row.text and "11acdf" not in row.text and "4539148803436467" in row.text and row.n_chars == len(row.text)
+
+
+def test_raking_meets_all_targets(spark):
+    rows = [(f"s{i}", f"l{j}", f"t{k}", 1 + (i * 7 + j * 3 + k * 5) % 11) for i in range(4) for j in range(3) for k in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goals = {"source": {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}, "lang": {"l0": 0.5, "l1": 0.25, "l2": 0.25}, "topic": {"t0": 0.7, "t1": 0.3}}
+    targets = {d: spark.createDataFrame(list(g.items()), "value string, share double") for d, g in goals.items()}
+    raked = mixing.rake(cells, targets, rounds=20).toPandas()
+    for d, g in goals.items():
+        assert raked.groupby(d).weight.sum().to_dict() == pytest.approx(g, abs=1e-6)
+    odds = raked.assign(m=raked.weight / raked.tokens).pivot_table(index=["source", "lang"], columns="topic", values="m")
+    assert np.allclose((odds.t0 / odds.t1), (odds.t0 / odds.t1).iloc[0])  # only margins were changed
+
+    for share in (0.1, 0.6, 0.95, 1.0):
+        p = mixing.probabilities(raked_frame := spark.createDataFrame(raked), share).toPandas()
+        assert (p.probability * p.tokens).sum() == pytest.approx(share * p.tokens.sum(), rel=1e-6) and p.probability.between(0, 1).all()
+    assert raked_frame.count() == 24
+
+
+def test_values_without_target_get_nothing(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "x", "t", 5), (None, "x", "t", 0)], "source string, lang string, topic string, tokens long")
+    raked = mixing.rake(cells, {"source": spark.createDataFrame([("a", 1.0)], "value string, share double")}, rounds=2).toPandas()
+    assert dict(zip(raked.source.fillna("none"), raked.weight, strict=True)) == {"a": 1.0, "b": 0.0, "none": 0.0}
+
+
+def test_draws_follow_the_probabilities(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, f"s{i % 2}", "en") for i in range(4000)], "doc_id long, text string, source string, lang string")
+    kept = mixing.mixed(docs, 0.5).collect()
+    assert abs(len(kept) - 2000) < 5 * (4000 * 0.25) ** 0.5 and kept == mixing.mixed(docs, 0.5).collect() or len(kept) == mixing.mixed(docs, 0.5).count()
+
+
+def brute_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {k + d for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("where", ["odd", "data"])
+def test_statistics_against_brute_force(spark, request, where):
+    d = request.getfixturevalue(where)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept and r.base_failed) for r in quality.op4_robust_outliers(spark, d).collect())
+    want = collections.Counter()
+    for r in docs.collect():
+        s = brute_statistics(r.text)
+        want[(r.doc_id, *s, s[0] < 50 or 100 * s[4] > 50 * s[0], False)] += 1
+    assert got == want
+
+
+def test_factor_and_distance_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) + 3
+    rows = spark.createDataFrame([("g", i % quality.SALTS, *map(float, v)) for i, v in enumerate(x)], "`group` string, salt int, x0 double, x1 double, x2 double, x3 double, x4 double")
+    moments = rows.groupBy("group").agg(*(F.avg(c).alias(f"s{i}") for i, c in enumerate(quality.X)), *(F.avg(F.col(quality.X[i]) * F.col(quality.X[j])).alias(f"p{i}{j}") for i in range(5) for j in range(i + 1)))
+    got = quality.with_distance(rows, quality.with_factor(moments)).toPandas()
+    cov = np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))
+    v = got[quality.X].to_numpy() - x.mean(0)
+    assert np.allclose(got.d2, np.einsum("ij,jk,ik->i", v, np.linalg.inv(cov), v))
+
+
+def test_estimate_resists_planted_outliers(spark):
+    rng = np.random.default_rng(8)
+    good, bad = rng.normal(0, 1, (800, 5)), rng.normal(9, 0.3, (150, 5))
+    rows = spark.createDataFrame([("g", i % quality.SALTS, True, *map(float, v)) for i, v in enumerate(np.vstack([good, bad]))], "`group` string, salt int, used boolean, x0 double, x1 double, x2 double, x3 double, x4 double")
+    factor = quality.robust_factors(rows).first()
+    assert all(abs(factor[f"m{i}"]) < 0.2 for i in range(5))  # the plain mean is at 1.4
+    far = quality.with_distance(rows, quality.robust_factors(rows)).toPandas()
+    planted = far.x0 > 5
+    assert planted.sum() == 150 and far.d2[planted].min() / factor["scale"] > 60 > far.d2[~planted].max() / factor["scale"]
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    d = "/root/testdata/sf0.01"
+    rows = quality.op4_robust_outliers(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
+    judged = rows[~rows.base_failed]
+    assert judged[judged.quality == 1].kept.mean() > 0.99 and judged[judged.quality == 0].kept.mean() < 0.15
