@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, what: str = "step") -> DataFrame:
+def written(df: DataFrame, what: str = "step", compression: str = "snappy") -> DataFrame:
     """df, cut off from its lineage by a table in the shared folder; it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,27 +52,26 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_of(value: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds are <= value, by a tree of comparisons as deep as log2 of their number."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def id_bounds(df: DataFrame, column: str = "doc_id", per_partition: int = 2, most: int = 20_000) -> np.ndarray:
+    """Approximate quantiles that divide an integer column into blocks of about equal rows, as many as there are shuffle
+    partitions times per_partition. At most `most` numbers reach the driver, whatever the input."""
+    n = max(2, min(most, per_partition * parallelism(df.sparkSession)))
+    quantiles = df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)
+    return np.array(sorted({int(x) for x in quantiles}), np.int64)
 
-    return tree(0, len(bounds)).cast("int")
 
+def with_block(df: DataFrame, bounds: np.ndarray, column: str = "doc_id") -> DataFrame:
+    """df with `block`, the number of bounds that are at most the column's value; it ascends with it. Nulls are in block 0."""
+    shared = df.sparkSession.sparkContext.broadcast(bounds)
 
-def id_blocks(df: DataFrame, column: str = "doc_id", per_partition: int = 2, most: int = 512) -> Column:
-    """A block number that ascends with an integer column, in blocks of about equal rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column))
+            block = np.searchsorted(shared.value, np.asarray(values.fill_null(0), np.int64), "right").astype(np.int32)
+            block[np.asarray(values.is_null())] = 0
+            yield pa.record_batch([*batch.columns, pa.array(block)], names=[*batch.schema.names, "block"])
 
-    The bounds are approximate quantiles: at most `most` numbers reach the driver, whatever the input.
-    Nulls go to block 0."""
-    n = max(2, min(most, per_partition * parallelism(df.sparkSession)))
-    quantiles = df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)
-    bounds = sorted({int(x) for x in quantiles})
-    return F.coalesce(bucket_of(F.col(column), bounds), F.lit(0))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("block", T.IntegerType())]))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textkernel as K
-from folio.llm.common import id_blocks, parallelism, small_batches, table
+from folio.llm.common import id_bounds, parallelism, small_batches, table, with_block
 
 U = np.uint64
 STRONG, LANES, RUN = 4, 128, 3
@@ -97,16 +97,17 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Columns: block, copy, doc_id, text. Rows are dealt by ranges of doc_id; the first row of a block is also sent, as a copy,
     to the end of the block before (that of the first block to the last one), so every row meets its successor without a
-    window over all rows. One number a block (512 at most) passes the driver."""
+    window over all rows. One number a block passes the driver (`most` of id_bounds at most)."""
     spark = docs.sparkSession
+    small_batches(spark, 250)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    block = id_blocks(rows, per_partition=8)
+    bounds = id_bounds(rows.select("doc_id"), per_partition=8)
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    firsts = rows.select(block.alias("block"), order.alias("first")).groupBy("block").agg(F.min("first").alias("first")).orderBy("block").collect()
+    firsts = with_block(rows.select("doc_id"), bounds).select("block", order.alias("first")).groupBy("block").agg(F.min("first").alias("first")).orderBy("block").collect()
     if not firsts:
         return rows.select(F.lit(0).alias("block"), F.lit(0).alias("copy"), "doc_id", "text")
     before = spark.createDataFrame([(r["first"], firsts[i - 1]["block"]) for i, r in enumerate(firsts)], "first long, goes_to int")
-    marked = rows.withColumn("block", block).join(F.broadcast(before), order == F.col("first"), "left")
+    marked = with_block(rows, bounds).join(F.broadcast(before), order == F.col("first"), "left")
     targets = F.when(F.col("goes_to").isNull(), F.array(F.struct(F.col("block"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("copy")), F.struct(F.col("goes_to").alias("block"), F.lit(1).alias("copy"))))
     dealt = marked.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.block", "t.copy", "doc_id", "text")
     return dealt.repartition(parallelism(spark), "block").sortWithinPartitions("block", "copy", F.col("doc_id").asc_nulls_first(), "text")

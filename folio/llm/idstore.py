@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm import textkernel as K
-from folio.llm.common import id_blocks, shared_dir, small_batches, table, written
-from folio.llm.tokens import encoder, vocabulary_path
+from folio.llm.common import id_bounds, shared_dir, small_batches, table, with_block, written
+from folio.llm.tokens import encoder, vocabulary_path, with_end
 
 U = np.uint64
 
@@ -38,14 +38,28 @@ def digest(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
-def chunk_cuts(ids: np.ndarray, least: int = 64, average_bits: int = 8, most: int = 1024, reach: int = 8) -> list[int]:
-    """The ends of the chunks of an id stream, the last being its length."""
-    n = len(ids)
-    values = K.mix(ids.astype(np.uint64) + U(1))
-    rolled = np.zeros(n, np.uint64)
-    for k in range(min(reach, n)):  # only the ids themselves and their distance enter, not their place
-        rolled[k:] += values[: n - k] * U(pow(K.BASE, k + 1, 1 << 64))
-    marks = (np.flatnonzero(K.mix(rolled) & U((1 << average_bits) - 1) == 0) + 1).tolist()
+#: A random 64-bit value for each id below 2**16, and for larger ones on demand.
+ID_VALUES = K.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def chunk_marks(ids: np.ndarray, at: np.ndarray, average_bits: int = 8, reach: int = 4) -> np.ndarray:
+    """Positions after which the rolling hash asks for a cut, in the joined ids of texts that end at at[1:].
+
+    Only the last `reach` ids of the same text and their distance enter, not their place."""
+    values = ID_VALUES[ids] if len(ids) and ids.max() < len(ID_VALUES) else K.mix(ids.astype(np.uint64) + U(1))
+    rolled = values * U(K.BASE)
+    starts = at[:-1][np.diff(at) > 0]
+    for k in range(1, reach):
+        part = values[: max(len(values) - k, 0)] * U(pow(K.BASE, k + 1, 1 << 64))
+        for d in range(k):  # the first ids of a text have none of it so far before them
+            across = starts[(starts >= k - d) & (starts + d < len(ids))] + d
+            part[across - k] = 0
+        rolled[k:] += part
+    return np.flatnonzero(rolled >> U(64 - average_bits) == 0) + 1
+
+
+def chunk_ends(marks: list[int], n: int, least: int = 64, most: int = 1024) -> list[int]:
+    """The ends of the chunks of a text of n ids, the last being n."""
     cuts, at = [], 0
     for mark in [*marks, n]:
         while mark - at > most:
@@ -61,7 +75,7 @@ def chunk_cuts(ids: np.ndarray, least: int = 64, average_bits: int = 8, most: in
 
 def encoded(docs: DataFrame, vocabulary: str | None, end_id: int, wide: bool) -> DataFrame:
     """(doc_id, n_tokens, keys, sizes, payloads) of every row of docs (doc_id, text)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary or vocabulary_path("word_bpe_49k.json"))
@@ -69,15 +83,16 @@ def encoded(docs: DataFrame, vocabulary: str | None, end_id: int, wide: bool) ->
             raise ValueError("this vocabulary needs wide=True")
         width = "<u4" if wide else "<u2"
         for batch in batches:
-            totals, keys, sizes, payloads = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.append(np.frombuffer(coder.encode(text), "<u4"), end_id)
-                cuts = chunk_cuts(ids)
-                raw = ids.astype(width)
-                parts = [raw[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
-                totals.append(len(ids))
+            ids, at = with_end(*coder.encode_batch(batch.column("text")), end_id)
+            marks = chunk_marks(ids, at)
+            split = np.searchsorted(marks, at, "right")
+            raw, size = memoryview(ids.astype(width).tobytes()), 4 if wide else 2
+            totals, keys, sizes, payloads = np.diff(at).tolist(), [], [], []
+            for i, start in enumerate(at[:-1].tolist()):
+                cuts = [0, *chunk_ends((marks[split[i] : split[i + 1]] - start).tolist(), totals[i])]
+                parts = [bytes(raw[size * (start + a) : size * (start + b)]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 keys.append([digest(x) for x in parts])
-                sizes.append(np.diff([0, *cuts]).tolist())
+                sizes.append([b - a for a, b in zip(cuts, cuts[1:], strict=False)])
                 payloads.append(parts)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "keys", "sizes", "payloads"]
@@ -136,18 +151,20 @@ def _block_roots(recipes: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, wide: bool = False) -> None:
     """Encodes all rows of docs (doc_id, text) into a store at path, which must be a folder that all executors see."""
-    rows = written(encoded(docs, vocabulary, end_id, wide), "encoded")
+    spark = docs.sparkSession
+    rows = written(encoded(docs, vocabulary, end_id, wide), "encoded", compression="zstd")
     chunks = rows.select(F.explode(F.arrays_zip("keys", "sizes", "payloads")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
-    chunks.dropDuplicates(["key"]).sortWithinPartitions("key").write.parquet(f"{path}/chunks")
+    chunks.dropDuplicates(["key"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    light = rows.select("doc_id", "n_tokens", "keys").withColumn("block", id_blocks(rows.select("doc_id")))
+    small_batches(spark, 4000)  # no texts from here on
+    light = with_block(rows.select("doc_id", "n_tokens", "keys"), id_bounds(rows.select("doc_id")))
     totals = light.groupBy("block").agg(F.sum("n_tokens").alias("tokens"))  # one row a block, of a bounded number of blocks
     before = totals.select("block", F.coalesce(F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "keys")
     placed = light.withColumn("inside", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
     recipes = placed.join(F.broadcast(before), "block").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "keys", "block")
     _with_roots(recipes.repartitionByRange("block").sortWithinPartitions("start")).write.parquet(f"{path}/recipes")
-    _block_roots(docs.sparkSession.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
+    _block_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
 
 
 # CRC-32 of joined byte strings from the parts' CRCs: appending zero bytes is linear over the 32 bits.
@@ -184,12 +201,21 @@ def _checked_chunks(chunks: DataFrame, wide: bool) -> DataFrame:
     """(key, n, crc) of the stored chunks; crc is over 32-bit ids. A payload that isn't its key's is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 4 if wide else 2
         for batch in batches:
+            payloads = batch.column("payload")
+            at = np.frombuffer(payloads.buffers()[1], np.int32, len(payloads) + 1, payloads.offset * 4).astype(np.int64)
+            raw = memoryview(payloads.buffers()[2])[at[0] : at[-1]] if len(payloads) else memoryview(b"")
+            lengths = np.asarray(batch.column("n"), np.int64)
+            if (np.diff(at) != lengths * size).any():
+                raise ValueError("a chunk has not its length")
+            ids = memoryview(np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4").tobytes())
+            cuts = ((at - at[0]) // size).tolist()
             crcs = []
-            for key, n, payload in zip(*(batch.column(x).to_pylist() for x in ("key", "n", "payload")), strict=True):
-                if digest(payload) != key or len(payload) != n * (4 if wide else 2):
+            for key, a, b in zip(batch.column("key").to_pylist(), cuts, cuts[1:], strict=False):
+                if digest(raw[size * a : size * b]) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
-                crcs.append(zlib.crc32(np.frombuffer(payload, "<u4" if wide else "<u2").astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(ids[4 * a : 4 * b]))
             yield pa.record_batch([batch.column("key"), batch.column("n"), pa.array(crcs, pa.int64())], names=["key", "n", "crc"])
 
     return chunks.select("key", "n", "payload").mapInArrow(run, "key binary, n int, crc long")
@@ -199,7 +225,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     Every chunk is read and verified once; a document's CRC comes from those of its chunks, so payloads need no shuffle."""
-    small_batches(spark)
+    small_batches(spark, 4000)  # no texts here
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("keys").alias("place", "key"))
     chunks = _checked_chunks(spark.read.parquet(f"{path}/chunks"), wide)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import small_batches, table
-from folio.llm.tokens import encoder, vocabulary_path
+from folio.llm.tokens import encoder, vocabulary_path, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
         coder = encoder(path)
         if path not in _ends:
             _ends[path] = Ends(coder.tokenizer, coder.size)
-        marks, tail = _ends[path], np.array([end_id], "<u4").tobytes()
+        marks = _ends[path]
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (doc_id, ids as bytes, ids before them in the document, ids of the document, sentence ends)
         waiting = 0
@@ -140,10 +140,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text) + tail
-                held.append((doc_id, ids, 0, len(ids) // 4, marks.after(np.frombuffer(ids, "<u4"))))
-                waiting += len(ids) // 4
+            flat, at = with_end(*coder.encode_batch(batch.column(1)), end_id)
+            ends, raw = marks.after(flat), memoryview(flat.astype("<u4").tobytes())
+            inside = np.searchsorted(ends, at)
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                a, b = int(at[i]), int(at[i + 1])
+                own = ends[inside[i] : inside[i + 1]] - a
+                held.append((doc_id, bytes(raw[4 * a : 4 * b]), 0, b - a, own[own > 0]))
+                waiting += b - a
                 if waiting >= block:
                     yield flush(False)
         if held:

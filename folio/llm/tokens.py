@@ -11,12 +11,24 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from folio.llm import textkernel as K
 
 LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-LATIN_TEXT = re.compile("[^\x00-\xff]")
+#: How the byte alphabet writes a blank (fixed value).
+BLANK = "Ġ"
+#: 1: ASCII letters; 2: the first byte of a two-byte Latin-1 character; and bytes of texts that numpy doesn't look at: control
+#: characters and the first bytes of characters beyond Latin-1.
+LETTER_BYTE = np.zeros(256, np.uint8)
+LETTER_BYTE[65:91] = LETTER_BYTE[97:123] = 1
+LETTER_BYTE[0xC2] = LETTER_BYTE[0xC3] = 2
+UNUSUAL = np.zeros(256, bool)
+UNUSUAL[[0x0B, 0x0C, *range(0x1C, 0x20)]] = True
+UNUSUAL[0xC4:] = True
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
 
@@ -27,58 +39,156 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """piece -> its ids as little-endian 32-bit bytes.
-
-    Two generations of at most `most` pieces each bound the memory: when the young one is full it becomes the old one, and
-    pieces still in use come back from there."""
-
-    def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self.tokenizer, self.most, self.old = tokenizer, most, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+class Encoder:
+    """Ids of batches of texts. The pieces of a batch are found and hashed by numpy, and each distinct one is looked up once.
 
+    A piece of letters alone is one pre-token, so the library's model gets it as it stands, in its byte alphabet; other
+    pieces go through the whole tokenizer. Pieces are told apart by 64-bit hashes. At most about `most` are remembered: beyond
+    that, the half that was used longest ago is forgotten."""
 
-class Encoder:
-    def __init__(self, path: str, most_pieces: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.size, self.most = self.tokenizer.get_vocab_size(), most
         with open(path) as f:
             spec = json.load(f)
         before = json.dumps(spec.get("pre_tokenizer"))
+        self.spaced = self.lower = False
         if spec.get("normalizer") is None and '"type": "ByteLevel"' in before and '"add_prefix_space": false' in before and '"use_regex": true' in before:
-            space = "[ \n\t\r]*"
-            self.fine = re.compile(f"{space}[{LATIN_LETTERS}]+|{space}[^ \n\t\r]+|[ \n\t\r]+")
-            self.coarse, self.lower = re.compile(f"{space}[^ \n\t\r]+|[ \n\t\r]+"), False
+            self.spaced, self.one_word = True, re.compile(f" ?[{LATIN_LETTERS}]+").fullmatch
+            self.coarse = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
         elif "Lowercase" in json.dumps(spec.get("normalizer")) and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in before:
-            self.fine, self.lower = re.compile(f"[{LATIN_LETTERS}]+|[^ \n\t\r]+"), True
-            self.coarse = re.compile("[^ \n\t\r]+")
+            self.lower, self.one_word = True, re.compile(f"[{LATIN_LETTERS}]+").fullmatch
+            self.coarse = re.compile("[^ \n\t\r]+").findall
+        self.known = self.spaced or self.lower
+        # the byte alphabet: printable bytes stand for themselves, the others for 256, 257, ... in their order
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = dict(zip((b for b in range(256) if b not in plain), range(256, 512), strict=False))
+        self.model = self.tokenizer.model.tokenize
+        self.hashes = np.empty(0, np.uint64)  # of remembered pieces, ascending
+        self.first, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))  # where their ids are in flat, how many, and the batch of last use
+        self.flat, self.batch = np.empty(0, np.uint32), 0
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> list[int]:
+        if not self.one_word(piece):
+            return self._library(piece)
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        elif piece[0] == " ":
+            piece = BLANK + piece[1:]
+        return [t.id for t in self.model(piece)]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remembers pieces; hashes ascend and are not among those known."""
+        model, blank = self.model, self.spaced
+        ids = []
+        for x in pieces:  # the common kinds first: ASCII letters, after a blank where those count
+            if x.isascii() and x.isalpha():
+                ids.append([t.id for t in model(x)])
+            elif blank and x.isascii() and x[0] == " " and x[1:].isalpha():
+                ids.append([t.id for t in model(BLANK + x[1:])])
+            else:
+                ids.append(self._piece(x))
+        count = np.array([len(x) for x in ids], np.int64)
+        first = len(self.flat) + np.cumsum(count) - count
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+        at = np.searchsorted(self.hashes, hashes)
+        used = np.full(len(hashes), self.batch, np.int64)
+        self.hashes, self.first, self.count, self.used = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, count), (self.used, used)))
+        self.flat = flat
+
+    def _forget(self) -> None:
+        keep = self.used >= np.median(self.used)
+        keep &= (np.cumsum(keep) <= self.most) | (self.used == self.batch)
+        first, count = self.first[keep], self.count[keep]
+        starts = np.cumsum(count) - count
+        self.flat = self.flat[np.repeat(first - starts, count) + np.arange(count.sum())]
+        self.hashes, self.used, self.count, self.first = self.hashes[keep], self.used[keep], count, starts
+
+    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces: of each word between plain white space, its first letters and what follows them."""
+        letter = LETTER_BYTE[data]
+        two = np.flatnonzero(letter == 2) + 1  # of two-byte letters: 0xC3 with all but 0x97 and 0xB7, 0xC2 with 0xAA, 0xB5, 0xBA
+        is_letter = letter == 1
+        if len(two):
+            lead, second = data[two - 1], data[two]
+            good = np.where(lead == 0xC3, (second != 0x97) & (second != 0xB7), (second == 0xAA) | (second == 0xB5) | (second == 0xBA))
+            is_letter[two - 1] = is_letter[two] = good
+        starts, ends, _ = K.words(data, at)
+        other = np.append(np.flatnonzero(~is_letter), len(data))
+        cut = np.minimum(other[np.searchsorted(other, starts)], ends)
+        split = (cut > starts) & (cut < ends)
+        if self.spaced:  # white space belongs to the piece after it, or is one of its own at a text's end
+            doc = np.searchsorted(at, starts, "right") - 1
+            begin = np.maximum(np.concatenate([[0], ends[:-1]]), at[doc]) if len(starts) else starts
+            last = at[:-1].copy()
+            np.maximum.at(last, doc, ends)
+            rest = np.flatnonzero(last < at[1:])
+            begin, cut_end = np.concatenate([begin, cut[split], last[rest]]), np.concatenate([np.where(split, cut, ends), ends[split], at[1:][rest]])
         else:
-            self.fine = self.coarse = None
-        self.pieces = _Pieces(self.tokenizer, most_pieces)
-        self.size = self.tokenizer.get_vocab_size()
+            begin, cut_end = np.concatenate([starts, cut[split]]), np.concatenate([np.where(split, cut, ends), ends[split]])
+        order = np.argsort(begin, kind="stable")
+        return begin[order], cut_end[order]
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another, and the n+1 positions of the texts; null texts have none."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        data, at = K.views(texts)
+        n = len(texts)
+        unusual = np.ones(n, bool) if not self.known else np.add.reduceat(np.append(UNUSUAL[data], False), at[:-1], dtype=np.int64) * (np.diff(at) > 0) > 0 if n else np.zeros(0, bool)
+        if self.known and (data == 0xC2).any():  # U+0085 and U+00A0
+            odd = np.flatnonzero(data[:-1] == 0xC2)
+            odd = odd[(data[odd + 1] == 0x85) | (data[odd + 1] == 0xA0)]
+            unusual[np.searchsorted(at, odd, "right") - 1] = True
+        others: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(unusual).tolist():
+            text = texts[i].as_py() or ""
+            if not self.known or ODD_SPACE.search(text):
+                others[i] = np.array(self._library(text), np.uint32)
+            else:
+                others[i] = np.array(list(chain.from_iterable(self._library(x) for x in self.coarse(text))), np.uint32)
+        if others:  # they are left out of what numpy sees
+            keep = np.repeat(~unusual, np.diff(at))
+            sizes = np.where(unusual, 0, np.diff(at))
+            data, at = data[keep], np.concatenate([[0], np.cumsum(sizes)])
+        if self.lower:
+            data = K.LOWER[data]
+            wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+            wide = wide[(data[wide] >= 0x80) & (data[wide] <= 0x9E) & (data[wide] != 0x97)]
+            data[wide] += 0x20
+        starts, ends = self._pieces(data, at)
+        self.batch += 1
+        hashes, where, which = np.unique(K.span_hashes(K.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        fresh = self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if fresh.any():
+            raw = data.tobytes()
+            self._learn(hashes[fresh], [raw[a:b].decode() for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, hashes)
+        self.used[place] = self.batch
+        count = self.count[place][which]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(self.first[place][which] - total[:-1], count) + np.arange(total[-1])]
+        out_at = total[np.searchsorted(starts, at, "left")]
+        if len(self.hashes) > self.most:
+            self._forget()
+        if others:
+            parts, positions = [], [0]
+            for i in range(n):
+                part = others.get(i, ids[out_at[i] : out_at[i + 1]])
+                parts.append(part)
+                positions.append(positions[-1] + len(part))
+            return np.concatenate(parts), np.array(positions)
+        return ids, out_at
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; nothing for null."""
-        if not text:
-            return b""
-        if self.coarse is None or ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if LATIN_TEXT.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.coarse.findall(text)))
-        return b"".join(map(self.pieces.__getitem__, self.fine.findall(text.lower() if self.lower else text)))
+        return self.encode_batch([text])[0].astype("<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -89,3 +199,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of several texts with end_id after each, and their positions."""
+    return np.insert(ids, at[1:], end_id), at + np.arange(len(at))
