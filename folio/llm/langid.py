@@ -14,7 +14,6 @@ first, extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ from folio.llm import textkernel as K
 from folio.llm.common import small_batches, table
 
 U = np.uint64
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes as features see them: lower-case letters and bytes of other alphabets stay, the rest is a space.
 SHOWN = np.full(256, 32, np.uint8)
 SHOWN[97:123] = np.arange(97, 123)
@@ -44,6 +42,10 @@ class Model:
     least_score: float = 0.0
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(c.isalpha() for c in text)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all texts and their n+1 positions. Each text is seen with a space at either end."""
     n = len(offsets) - 1
@@ -113,15 +115,16 @@ def probabilities(logits: np.ndarray, temperature: float) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], reject_share: float) -> Model:
-    """Fits the temperature by likelihood, and the score that all but reject_share of these rows reach (at most 0.5)."""
+def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], reject_share: float, most_least: float = 0.4) -> Model:
+    """Fits the temperature by likelihood, and the score that all but reject_share of these rows reach (at most most_least, so that a
+    text in two of the languages stays)."""
     if rows:
         logits = np.stack([(model.scores[f] * (c / c.sum())[:, None]).sum(0) for f, c, _ in rows])
         truth = np.array([x[2] for x in rows])
         grid = np.geomspace(0.2, 5, 40)
         losses = [-np.log(np.maximum(probabilities(logits, t)[np.arange(len(rows)), truth], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(losses))])
-        model.least_score = float(min(0.5, np.quantile(probabilities(logits, model.temperature).max(1), reject_share)))
+        model.least_score = float(min(most_least, np.quantile(probabilities(logits, model.temperature).max(1), reject_share)))
     return model
 
 
@@ -182,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             n = batch.num_rows
             texts = batch.column("text")
             data, offsets = K.views(texts)
-            letters = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+            letters = np.array([has_letter(t) for t in texts.to_pylist()], bool)
             best, score = np.full(n, len(names) - 1), np.zeros(n)
             if model:
                 for lo, hi in K.blocks(offsets, 1 << 19):
@@ -217,7 +220,7 @@ def accepted(docs: DataFrame, **how) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column("text")
-            keep = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+            keep = np.array([has_letter(t) for t in texts.to_pylist()], bool)
             if model is None:
                 keep[:] = False
             else:

@@ -114,9 +114,9 @@ def mixed(docs: DataFrame, share: float = 0.7) -> DataFrame:
     """docs of which documents are drawn by their calibrated probabilities; all columns stay as they are."""
     own = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     kept = weighed(written(with_tokens(own), "tokens"), share).where("sampled").select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p")).distinct()
-    words = n_words(docs.text)
-    same = docs.source.cast("string").eqNullSafe(F.col("__s")) & docs.lang.cast("string").eqNullSafe(F.col("__l")) & (text_form(docs.text, words) == F.col("__t"))
-    return docs.join(kept, same).where(draw(docs.doc_id) < F.col("__p")).select(*(docs[c] for c in docs.columns))
+    marked = docs.withColumn("__words", n_words(docs.text)).withColumn("__form", text_form(docs.text, F.col("__words")))
+    same = marked["source"].cast("string").eqNullSafe(F.col("__s")) & marked["lang"].cast("string").eqNullSafe(F.col("__l")) & (F.col("__form") == F.col("__t"))
+    return marked.join(kept, same).where(draw(marked["doc_id"]) < F.col("__p")).select(*(marked[c] for c in docs.columns))
 
 
 def mix_sql(rounds: int = 10, share: float = 0.5) -> str:
