@@ -168,9 +168,9 @@ def sealed_shape(spark, d):
     return _sealed(spark, d).select("c_custkey", F.col("c_name.__enc").alias("sealed"), F.length("c_name.iv").alias("iv_length"), F.col("c_name.alg").alias("alg"))
 
 
-@query("f1_triggers", "SELECT o_orderkey, o_totalprice > 100000 AS big, round(o_totalprice * 1.1, 2) AS gross FROM orders")
+@query("f1_triggers", "SELECT o_orderkey, o_totalprice > 100000 AS big, o_totalprice * 2 AS gross FROM orders")
 def triggers(spark, d):
-    hooks = [Trigger("flag", "orders", sets={"big": "o_totalprice > 100000"}), Trigger("gross", "orders", run=lambda df: df.withColumn("gross", F.round(F.col("o_totalprice") * 1.1, 2))), Trigger("nothing", "orders", run=lambda df: None)]
+    hooks = [Trigger("flag", "orders", sets={"big": "o_totalprice > 100000"}), Trigger("gross", "orders", run=lambda df: df.withColumn("gross", F.col("o_totalprice") * 2)), Trigger("nothing", "orders", run=lambda df: None)]
     return apply_triggers(tables(spark, d, "orders"), hooks, "orders", "before").select("o_orderkey", "big", "gross")
 
 
