@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import folio
+
 #: ASCII white space; everything else belongs to words.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a character class for regular expressions, negated.
@@ -22,8 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that they can import it wherever they run.
+
+    A package that was itself started from an archive (--py-files) is already there."""
+    root = Path(folio.__file__).resolve().parent
+    if spark.sparkContext.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="folio-"), "folio.zip")  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, f"folio/{file.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches are bounded in rows and bytes, so that long texts don't pile up in one batch."""
+    """Before Python runs in tasks: workers get the package, and Arrow batches are bounded in rows and bytes, so that long texts
+    don't pile up in one batch."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -62,6 +86,7 @@ def id_bounds(df: DataFrame, column: str = "doc_id", per_partition: int = 2, mos
 
 def with_block(df: DataFrame, bounds: np.ndarray, column: str = "doc_id") -> DataFrame:
     """df with `block`, the number of bounds that are at most the column's value; it ascends with it. Nulls are in block 0."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

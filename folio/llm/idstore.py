@@ -258,6 +258,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """(doc_id, start, ids array<long>): every document's ids, put together again from its chunks."""
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("keys").alias("place", "key"))
+    small_batches(spark)
     joined = recipes.join(spark.read.parquet(f"{path}/chunks"), "key").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +271,7 @@ def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
 
 def verify_manifests(spark: SparkSession, path: str) -> DataFrame:
     """(block, ok): whether each block's Merkle root, recomputed from the recipes, is the one in its manifest."""
+    small_batches(spark, 4000)
     fresh = _block_roots(spark.read.parquet(f"{path}/recipes")).select(F.col("block").alias("b"), F.col("root").alias("r"), F.col("n_tokens").alias("t"))
     kept = spark.read.parquet(f"{path}/manifests")
     return kept.join(fresh, kept.block == fresh.b, "full").select(F.coalesce("block", "b").alias("block"), (F.col("root").eqNullSafe(F.col("r")) & F.col("n_tokens").eqNullSafe(F.col("t"))).alias("ok"))
