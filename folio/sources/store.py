@@ -11,6 +11,6 @@ def scratch(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is set (tests), a temporary one."""
     at = spark.sparkContext.getCheckpointDir()
     if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folio-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
