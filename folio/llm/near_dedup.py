@@ -10,11 +10,11 @@ empty register are drawn again with a longer one, so that the signature is exact
 
 Stages: signatures; buckets by band; pairs; verification on the whole multisets; components. Equal texts are joined to one
 first. In a bucket, every member is paired with the one of least id. Buckets whose members are not in one component after
-that are looked at again: small ones pair all members of different components; in larger ones, every member outside the
-bucket's main component meets `draws` members of that and as many of the others, drawn anew for each bucket and round, so up
-to 4 in each of its bands. Rounds go on until one finds no link, `rounds` at most. No bucket is capped, no pair counts as similar
-without verification, and work stays in proportion to the members of buckets. What can be lost is a class of a text that is
-similar to few of the members of a very large group and to none that it met.
+that are looked at again: small ones pair all members of different components. In larger ones, cheap rounds come first: every
+member outside the bucket's main component meets `draws` members of that and as many of the others, drawn anew for each bucket
+and round. What is then still in different components is compared in full: the members outside the main component with all
+others, in tiles of bounded size, so that every pair that shares a band is decided by its exact similarity or already in one
+class. No bucket is capped, and no pair counts as similar without verification.
 
 Null or word-free texts: equal ones (null only with null, empty of words with empty of words) form a class. Rows with a
 null id get a null class. Repeated rows fall into one class. Extra columns are ignored.
@@ -209,6 +209,57 @@ def _rest_pairs(buckets: DataFrame, salts: range) -> DataFrame:
     return _pairs(rest.select("id", *(f"main.{n}" for n in names), *(f"any{salt}" for salt in salts)), *names, *(f"any{salt}" for salt in salts))
 
 
+def _overlaps(items: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The size of the multiset intersection of one text with each of others, whose items begin at starts; items ascend."""
+    at = np.minimum(np.searchsorted(items, others), len(items) - 1)
+    return np.add.reduceat(np.where(items[at] == others, np.minimum(counts[at], other_counts), 0), starts)
+
+
+def _tile_links(tile: pa.Table, threshold: float) -> pa.Table:
+    """Links between the texts of side 0 and those of side 1 that are in other components: of each text, one to a component."""
+    side, ids, roots = (np.asarray(tile.column(c).combine_chunks()) for c in ("side", "id", "root"))
+    items = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("items")]
+    counts = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in tile.column("counts")]
+    total = np.array([x.sum() for x in counts], np.int64)
+    out: list[tuple[int, int]] = []
+    order = np.flatnonzero(side == 1)
+    order = order[np.argsort(total[order], kind="stable")]
+    if len(order):
+        flat, flat_counts = np.concatenate([items[k] for k in order]), np.concatenate([counts[k] for k in order])
+        at = np.concatenate([[0], np.cumsum([len(items[k]) for k in order])])
+        for one in np.flatnonzero(side == 0):
+            # similarity is at most the ratio of the sizes
+            lo, hi = np.searchsorted(total[order], [total[one] * threshold * (1 - 1e-9), total[one] / threshold * (1 + 1e-9)], "left")
+            if lo == hi:
+                continue
+            near = order[lo:hi]
+            both = _overlaps(items[one], counts[one], flat[at[lo] : at[hi]], flat_counts[at[lo] : at[hi]], at[lo:hi] - at[lo])
+            hit = near[(both / (total[one] + total[near] - both) >= threshold) & (roots[near] != roots[one])]
+            for k in hit[np.unique(roots[hit], return_index=True)[1]]:
+                out.append((min(ids[one], ids[k]), max(ids[one], ids[k])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def _exact_links(buckets: DataFrame, sets: DataFrame, threshold: float, tile_rows: int, tile_bytes: int = 4 << 20) -> DataFrame:
+    """All similar pairs of different components in buckets (key, id, root), up to equal components: every member outside a
+    bucket's main component is compared with all members. Both are dealt by hash to parts of about tile_rows members or
+    tile_bytes of shingles, and each part meets each in a task's tile, so that only parts are held and repeated."""
+    sized = written(buckets.select("key", "id", "root").join(sets.select("id", F.length("items").alias("bytes")), "id"), "sized")
+    parts = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    deal = lambda n, size: F.ceil(F.greatest(n / tile_rows, size / tile_bytes)).cast("int")
+    of_bucket = parts.groupBy("key").agg(F.max_by(F.struct("root", "n", "bytes"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    dealt = written(
+        of_bucket.select(F.col("key").alias("k"), F.col("main.root").alias("main"), deal(F.col("n"), F.col("bytes")).alias("wide"), deal(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("high")).where("high > 0"), "dealt"
+    )
+    rows = sized.join(dealt, sized.key == dealt.k)
+    part = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rows.where("root != main").select("key", "id", "root", F.lit(0).alias("side"), part("high").alias("i"), every("wide").alias("j"))
+    all_ = rows.select("key", "id", "root", F.lit(1).alias("side"), every("high").alias("i"), part("wide").alias("j"))
+    tiles = rest.unionByName(all_).join(sets, "id").select("key", "i", "j", "side", "id", "root", "items", "counts")
+    return tiles.groupBy("key", "i", "j").applyInArrow(lambda tile: _tile_links(tile, threshold), "a long, b long").distinct()
+
+
 def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after new links between nodes of the old ones."""
     if roots is None:
@@ -220,7 +271,7 @@ def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(over.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, shingle: int = 5, small: int = 32, rounds: int = 2, draws: int = 2) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, shingle: int = 5, small: int = 32, rounds: int = 2, draws: int = 2, tile_rows: int = 256) -> DataFrame:
     """(doc_id, class_id) for every row of docs: class_id is the least doc_id of its class of near-duplicates."""
     sig = written(signatures(docs, bands, rows, shingle), "signatures")
     firsts = written(sig.where("doc_id is not null").groupBy(F.col("same").alias("s")).agg(F.min("doc_id").alias("rep")), "firsts")
@@ -239,6 +290,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
         if not links.limit(1).count():
             break
         roots = _merge(roots, links)
+    left = written(_split_buckets(shared.select("key", "id"), roots).where(F.col("size") > small), "left")
+    if left.limit(1).count():
+        roots = _merge(roots, written(_exact_links(left, sets, threshold, tile_rows), "links"))
     return of_text.join(roots, of_text.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
 

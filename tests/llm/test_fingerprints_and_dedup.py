@@ -99,6 +99,30 @@ def test_classes_against_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_every_link_of_a_large_group_is_found(spark):
+    """Hundreds of copies of similarity 0.78 to 0.85: each of the first half is near the base, each of the second near one of these alone."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+
+    def edited(text, n):
+        text = list(text)
+        for k in rng.sample(range(0, 120, 6), n):
+            text[k] = word()
+        return text
+
+    base = [word() for _ in range(120)]
+    near = [base] + [edited(base, 2) for _ in range(150)]
+    far = [edited(t, rng.choice((2, 2, 3))) for t in near[1:]]
+    order = list(range(len(near) + len(far)))
+    rng.shuffle(order)
+    rows = {k: " ".join((near + far)[i]) for k, i in enumerate(order)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute_classes(rows)
+    assert 10 < len(set(want.values())) < 150  # some copies do stay apart
+    for tile_rows in (256, 50):
+        assert {r.doc_id: r.class_id for r in N.classes(docs, tile_rows=tile_rows).collect()} == want
+
+
 def test_one_of_each_class_stays(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = N.keep_one(docs).collect()
