@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives. DataFrame functions throughout.
 
 A candidate is a run of 16 or more of [A-Za-z0-9_+/-] with a digit in it, or the value (6 or more characters) assigned to a
-name such as password, token, secret or key. Its features: length, shares of digits, upper case and hexadecimal digits,
+name such as password, token, secret or key, with or without blanks around = or :. A word may hold any number of them, and all
+are judged, keys in issuers' formats inside longer runs too; equal ones in a word are one candidate. Its features: length, shares of digits, upper case and hexadecimal digits,
 distinct characters, changes between character classes and between vowels and consonants, the share of its letters that lie
 in dictionary words (letter runs of 4 or more that the whole corpus has in at least `least_count` places), whether it looks
 like a path or address, and whether the words before it name a credential or assign it.
@@ -29,10 +30,19 @@ from folio.llm.common import table, written
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Names whose value is a credential, as patterns over lower-case text.
 NAMES = r"pass|pwd|token|secret|api|key|auth|credential"
-ASSIGNED = r"(?i)(?:pass|pwd|token|secret|key|auth|credential)[a-z_]*[\"']?[=:][\"']?([^\s\"'=:]{6,})"
+NAME = r"(?:pass|pwd|token|secret|key|auth|credential)[a-z_]*"
+#: A value ends at &, ; or , only where another name and sign follow.
+VALUE = r"((?:[^\s\"'=:&;,]|[&;,](?![\w.-]+[\"']?[=:])){6,})"
+ASSIGNED = rf"(?i){NAME}[\"']?[=:][\"']?{VALUE}"
+#: A value whose name, or name and sign, are the words before it.
+NAME_BEFORE = rf"(?i){NAME}[\"']?(?:[=:]| [=:])[\"']?$"
+NAME_ALONE = rf"(?i){NAME}[\"']?$"
+FIRST_VALUE = rf"^[\"']?{VALUE}"
+SIGN_VALUE = rf"^[=:][\"']?{VALUE}"
 RUN = r"([A-Za-z0-9_+/-]{16,})"
 #: Published formats of issuers' keys (fixed values).
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$"
+ISSUED_INSIDE = r"((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"
 FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_distinct", "f_turns", "f_vowel_turns", "f_dictionary", "f_path", "f_named", "f_assigned", "f_quoted"]
 
 
@@ -40,16 +50,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, place, value, before, word): one row a candidate; place counts words from 0."""
     words = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.split("text", SPLIT).alias("words"))
 
-    def is_candidate(i: Column) -> Column:
-        w = F.get("words", i)
-        return (F.length(w) >= 12) & (w.rlike(ASSIGNED) | ((F.length(w) >= 16) & w.rlike("[0-9]") & F.regexp_extract(w, RUN, 1).rlike("[0-9]")))
+    i = F.col("place")
+    at = lambda k: F.get("words", i - k)
+    # cheap tests choose the words, and only their values are extracted
+    alone = F.lit(r"(?i)(?:pass|pwd|token|secret|key|auth|credential)")
 
-    places = F.when(F.size("words") > 0, F.filter(F.sequence(F.lit(0), F.size("words") - 1), is_candidate))
+    def is_candidate(w: Column, k: Column) -> Column:
+        last, earlier = F.get("words", k - 1), F.get("words", k - 2)
+        run = (F.length(w) >= 16) & F.regexp_like(w, F.lit("[0-9]")) & w.rlike(RUN)
+        named_before = (F.length(w) >= 6) & F.coalesce(last.rlike(r"[=:][\"']?$"), F.lit(False)) & (F.regexp_like(last, alone) | F.coalesce(F.regexp_like(earlier, alone), F.lit(False)))
+        return run | ((F.length(w) >= 10) & w.rlike(ASSIGNED)) | ((F.length(w) >= 15) & w.rlike(ISSUED_INSIDE)) | named_before | (w.rlike("^[=:]") & F.coalesce(F.regexp_like(last, alone), F.lit(False)))
+
+    places = F.filter(F.transform("words", lambda w, k: F.when(is_candidate(w, k), k)), lambda k: k.isNotNull())
     found = words.where("words is not null").select("doc_id", "text_key", "words", F.explode(places).alias("place"))
-    word = F.get("words", F.col("place"))
-    before = F.concat_ws(" ", F.when(F.col("place") >= 2, F.get("words", F.col("place") - 2)), F.when(F.col("place") >= 1, F.get("words", F.col("place") - 1)))
-    assigned = F.regexp_extract(word, ASSIGNED, 1)
-    return found.select("doc_id", "text_key", "place", word.alias("word"), before.alias("before"), F.when(F.length(assigned) > 0, assigned).otherwise(F.regexp_extract(word, RUN, 1)).alias("value"))
+    before = F.concat_ws(" ", F.when(i >= 2, at(2)), F.when(i >= 1, at(1)))
+    found = found.select("doc_id", "text_key", "place", at(0).alias("word"), before.alias("before"), F.when(i >= 1, at(1)).alias("last"))
+    some = lambda test, pattern: F.when(test, F.regexp_extract_all("word", F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+    assigned = F.array_union(F.array_union(some(F.lit(True), ASSIGNED), some(F.col("before").rlike(NAME_BEFORE), FIRST_VALUE)), some(F.col("last").rlike(NAME_ALONE), SIGN_VALUE))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), 1), lambda r: r.rlike("[0-9]"))
+    valued = found.withColumn("assigned", assigned).withColumn("value", F.explode(F.array_union(F.array_union("assigned", runs), some(F.lit(True), ISSUED_INSIDE))))
+    return valued.select("doc_id", "text_key", "place", "word", "before", "value")
 
 
 def dictionary(docs: DataFrame, least_count: int = 5) -> DataFrame:
