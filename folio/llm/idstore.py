@@ -79,7 +79,7 @@ def encoded(docs: DataFrame, vocabulary: str | None, end_id: int, wide: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary or vocabulary_path("word_bpe_49k.json"))
-        if not wide and coder.size > 1 << 16:
+        if not wide and coder.vocabulary_size > 1 << 16:
             raise ValueError("this vocabulary needs wide=True")
         width = "<u4" if wide else "<u2"
         for batch in batches:

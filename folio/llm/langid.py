@@ -61,7 +61,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     # a gram counts if its middle holds no space, so that it lies in one word with at most the spaces around it
     ok3, ok4 = np.flatnonzero(~space[1:-1]), np.flatnonzero(~space[1:-2] & ~space[2:-1])
     starts, ends, _ = K.words(shown, at)
-    whole = K.span_hashes(K.prefix_hash(shown), starts, ends)
+    whole = K.span_hashes(shown, starts, ends)
     place = np.concatenate([ok3 + 1, ok4 + 1, starts])
     found = np.concatenate([(three[ok3] * U(K.BASE)) >> shift, (four[ok4] * U(K.BASE)) >> shift, whole >> shift]).astype(np.int64)
     owner = np.searchsorted(at, place, "right") - 1

@@ -16,6 +16,10 @@ and round. What is then still in different components is compared in full: the m
 others, in tiles of bounded size, so that every pair that shares a band is decided by its exact similarity or already in one
 class. No bucket is capped, and no pair counts as similar without verification.
 
+A class is one of texts, not of ids: texts are equal if their lower-cased words are (compared by BLAKE2b-128 of the words
+themselves), every distinct text gets a number of its own, and links are between these numbers. So rows that share a doc_id
+but not their text are told apart, in classes of their own if their texts are.
+
 Null or word-free texts: equal ones (null only with null, empty of words with empty of words) form a class. Rows with a
 null id get a null class. Repeated rows fall into one class. Extra columns are ignored.
 """
@@ -59,37 +63,42 @@ def bag_minhash(owner: np.ndarray, items: np.ndarray, weight: np.ndarray, n: int
     todo = total > 0
     while todo.any():
         limit = np.where(todo, spread * registers / np.maximum(total, 1), 0.0)
-        pick = todo[owner]
-        own, item, w = owner[pick], items[pick], weight[pick]
-        level = 0
-        while len(own):
-            low = 0 if level == 0 else 1 << (level - 1)
-            width = 1 if level == 0 else 1 << (level - 1)
-            state = K.mix(item + U(((level + 1) * 0xD1B54A32D192ED03) & (2**64 - 1)))
-            o, ww, t, ends = own, w, np.zeros(len(own)), limit[own]
-            while len(o):
-                t = t - np.log(_uniform(state)) / width
-                alive = t <= ends
-                if not alive.all():
-                    o, ww, t, ends, state = o[alive], ww[alive], t[alive], ends[alive], state[alive]
-                if not len(o):
-                    break
-                draw = K.mix(state ^ U(0xA5A5A5A55A5A5A5A))
-                register = ((draw >> U(33)) * U(registers)) >> U(31)
-                if width > 1:
-                    keep = low + ((draw & U(0xFFFFFFFF)).astype(np.float64) / 2**32) * width < ww
-                    np.minimum.at(out.reshape(-1), o[keep] * registers + register[keep].astype(np.int64), t[keep])
-                else:
-                    np.minimum.at(out.reshape(-1), o * registers + register.astype(np.int64), t)
-                state = K.mix(state + U(0x9E3779B97F4A7C15))
-            level += 1
-            more = w > (1 << (level - 1))
-            own, item, w = own[more], item[more], w[more]
+        pick = np.flatnonzero(todo[owner])
+        for part in np.array_split(pick, max(1, -(-len(pick) // (1 << 20)))):
+            _points(out, owner[part], items[part], weight[part], limit, registers)
         todo &= np.isinf(out).any(1)
         spread *= 3
     return out
 
 
+def _points(out: np.ndarray, own: np.ndarray, item: np.ndarray, w: np.ndarray, limit: np.ndarray, registers: int) -> None:
+    """Puts the points of the items' processes up to their texts' time limits into the registers."""
+    level = 0
+    while len(own):
+        low = 0 if level == 0 else 1 << (level - 1)
+        width = 1 if level == 0 else 1 << (level - 1)
+        state = K.mix(item + U(((level + 1) * 0xD1B54A32D192ED03) & (2**64 - 1)))
+        o, ww, t, ends = own, w, np.zeros(len(own)), limit[own]
+        while len(o):
+            t = t - np.log(_uniform(state)) / width
+            alive = t <= ends
+            if not alive.all():
+                o, ww, t, ends, state = o[alive], ww[alive], t[alive], ends[alive], state[alive]
+            if not len(o):
+                break
+            draw = K.mix(state ^ U(0xA5A5A5A55A5A5A5A))
+            register = ((draw >> U(33)) * U(registers)) >> U(31)
+            if width > 1:
+                keep = low + ((draw & U(0xFFFFFFFF)).astype(np.float64) / 2**32) * width < ww
+                np.minimum.at(out.reshape(-1), o[keep] * registers + register[keep].astype(np.int64), t[keep])
+            else:
+                np.minimum.at(out.reshape(-1), o * registers + register.astype(np.int64), t)
+            state = K.mix(state + U(0x9E3779B97F4A7C15))
+        level += 1
+        more = w > (1 << (level - 1))
+        own, item, w = own[more], item[more], w[more]
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     bits = signature.view(np.uint64).reshape(len(signature), bands, rows)
     key = np.zeros((len(signature), bands), np.uint64)
@@ -98,79 +107,70 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return K.mix(key + np.arange(1, bands + 1, dtype=np.uint64)[None, :])
 
 
+def _shingled(texts: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """For runs of texts lo to hi: lo, hi, the multisets of all, and for each text what equal texts share (empty for null)."""
+    data, offsets = K.views(texts)
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    for lo, hi in K.blocks(offsets):
+        part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        hashes, _, _, places = K.word_hashes(part, at, lower=True)
+        shown, cuts = K.plain_words(part, at)
+        raw = memoryview(shown)
+        same = [b"" if null[lo + i] else blake2b(raw[cuts[i] : cuts[i + 1]], digest_size=16).digest() for i in range(hi - lo)]
+        yield lo, hi, *multisets(*K.shingles(hashes, places, shingle)), same
+
+
 def signatures(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
-    """(doc_id, same, bands): same is equal for texts of equal words, bands has the band keys (none for a text without words)."""
+    """(doc_id, raw, same, bands) of every row of docs (doc_id, text, raw): same is equal for texts of equal words, bands has the
+    band keys (none for a text without words)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            data, offsets = K.views(texts)
-            null = texts.is_null().to_numpy(zero_copy_only=False)
             same: list[bytes] = []
             keys: list[np.ndarray] = []
-            for lo, hi in K.blocks(offsets):
-                part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                hashes, _, _, places = K.word_hashes(part, at, lower=True)
-                owner, items, weight = multisets(*K.shingles(hashes, places, shingle))
+            for lo, hi, owner, items, weight, equal in _shingled(batch.column("text"), shingle):
                 signature = bag_minhash(owner, items, weight, hi - lo, bands * rows)
                 found = band_keys(signature, bands, rows).view(np.int64)
-                has = np.diff(places) > 0
-                for i in range(hi - lo):
-                    same.append(b"" if null[lo + i] else blake2b(hashes[places[i] : places[i + 1]].tobytes(), digest_size=16).digest())
-                    keys.append(found[i] if has[i] else found[i][:0])
+                has = np.bincount(owner, minlength=hi - lo) > 0
+                same += equal
+                keys += [found[i] if has[i] else found[i][:0] for i in range(hi - lo)]
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(flat))], names=["doc_id", "same", "bands"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("raw"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(flat))], names=["doc_id", "raw", "same", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "raw").mapInArrow(run, "doc_id long, raw binary, same binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, items, counts): each text's distinct shingles, ascending, and their counts, as bytes."""
-    small_batches(docs.sparkSession)
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """(same, items, counts) of texts (text): each one's distinct shingles, ascending, and their counts, as bytes."""
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.views(batch.column("text"))
+            same: list[bytes] = []
             items_out, counts_out = [], []
-            for lo, hi in K.blocks(offsets):
-                part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                hashes, _, _, places = K.word_hashes(part, at, lower=True)
-                owner, items, weight = multisets(*K.shingles(hashes, places, shingle))
+            for lo, hi, owner, items, weight, equal in _shingled(batch.column("text"), shingle):
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    own = slice(cut[i], cut[i + 1])
-                    items_out.append(items[own].tobytes())
-                    counts_out.append(weight[own].astype(np.uint32).tobytes())
-            yield pa.record_batch([batch.column("id"), pa.array(items_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["id", "items", "counts"])
+                same += equal
+                items_out += [items[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)]
+                counts_out += [weight[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(hi - lo)]
+            yield pa.record_batch([pa.array(same, pa.binary()), pa.array(items_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["same", "items", "counts"])
 
-    return docs.mapInArrow(run, "id long, items binary, counts binary")
+    return texts.select("text").mapInArrow(run, "same binary, items binary, counts binary")
 
 
-def weighted_jaccard(items_a: bytes, counts_a: bytes, items_b: bytes, counts_b: bytes) -> float:
-    a, b = np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64)
-    m, n = np.frombuffer(counts_a, np.uint32).astype(np.int64), np.frombuffer(counts_b, np.uint32).astype(np.int64)
-    if not len(a) or not len(b):
-        return 0.0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    hit = b[at] == a
-    both = np.minimum(m[hit], n[at[hit]]).sum()
-    return float(both / (m.sum() + n.sum() - both))
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float, tile_rows: int = 256, tile_bytes: int = 4 << 20) -> DataFrame:
+    """The links (a, b), a < b, among pairs (hub, id): those whose exact multiset Jaccard similarity reaches the threshold.
 
-
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact multiset Jaccard similarity reaches the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("ia", "ca", "ib", "cb")]
-            keep = pa.array([weighted_jaccard(*x) >= threshold for x in zip(*cols, strict=True)], pa.bool_())
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
-
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    A hub's pairs are dealt to tiles of about tile_rows members or tile_bytes of shingles; a tile holds its hub once, and compares
+    it with all its members at once."""
+    sized = written(pairs.join(sets.select("id", F.length("items").alias("bytes")), "id").select("hub", "id", "bytes"), "pairs")
+    tiles = sized.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.greatest(F.count("*") / tile_rows, F.sum("bytes") / tile_bytes)).cast("int").alias("wide"))
+    dealt = sized.join(tiles, F.col("hub") == F.col("h")).select("hub", "id", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int").alias("tile"), F.lit(1).alias("side"))
+    hubs = tiles.select(F.col("h").alias("hub"), F.col("h").alias("id"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("tile"), F.lit(0).alias("side"))
+    rows = dealt.unionByName(hubs).join(sets, "id").select("hub", "tile", "side", "id", F.col("side").cast("long").alias("root"), "items", "counts")
+    return rows.groupBy("hub", "tile").applyInArrow(lambda tile: _tile_links(tile, threshold, each=True), "a long, b long").distinct()
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -180,9 +180,8 @@ def _buckets(members: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, *others: str) -> DataFrame:
-    """The distinct pairs (a < b) of id with each of the other columns."""
-    other = F.explode(F.array_distinct(F.array(*others)))
-    return rows.select("id", other.alias("other")).where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    """The distinct pairs (hub, id) of id with each of the other columns."""
+    return rows.select("id", F.explode(F.array_distinct(F.array(*others))).alias("hub")).where("id != hub").select("hub", "id").distinct()
 
 
 def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -195,7 +194,7 @@ def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _little_pairs(buckets: DataFrame) -> DataFrame:
     """All pairs of different components in small buckets."""
     left, right = (buckets.select("key", F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    return left.join(right, "key").where("ra != rb and a < b").select("a", "b").distinct()
+    return left.join(right, "key").where("ra != rb and a < b").select(F.col("a").alias("hub"), F.col("b").alias("id")).distinct()
 
 
 def _rest_pairs(buckets: DataFrame, salts: range) -> DataFrame:
@@ -215,8 +214,8 @@ def _overlaps(items: np.ndarray, counts: np.ndarray, others: np.ndarray, other_c
     return np.add.reduceat(np.where(items[at] == others, np.minimum(counts[at], other_counts), 0), starts)
 
 
-def _tile_links(tile: pa.Table, threshold: float) -> pa.Table:
-    """Links between the texts of side 0 and those of side 1 that are in other components: of each text, one to a component."""
+def _tile_links(tile: pa.Table, threshold: float, each: bool = False) -> pa.Table:
+    """Links between the texts of side 0 and those of side 1 that are in other components: all, or of each text one to a component."""
     side, ids, roots = (np.asarray(tile.column(c).combine_chunks()) for c in ("side", "id", "root"))
     items = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("items")]
     counts = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in tile.column("counts")]
@@ -235,7 +234,7 @@ def _tile_links(tile: pa.Table, threshold: float) -> pa.Table:
             near = order[lo:hi]
             both = _overlaps(items[one], counts[one], flat[at[lo] : at[hi]], flat_counts[at[lo] : at[hi]], at[lo:hi] - at[lo])
             hit = near[(both / (total[one] + total[near] - both) >= threshold) & (roots[near] != roots[one])]
-            for k in hit[np.unique(roots[hit], return_index=True)[1]]:
+            for k in hit if each else hit[np.unique(roots[hit], return_index=True)[1]]:
                 out.append((min(ids[one], ids[k]), max(ids[one], ids[k])))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
@@ -271,44 +270,62 @@ def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(over.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, shingle: int = 5, small: int = 32, rounds: int = 2, draws: int = 2, tile_rows: int = 256) -> DataFrame:
-    """(doc_id, class_id) for every row of docs: class_id is the least doc_id of its class of near-duplicates."""
-    sig = written(signatures(docs, bands, rows, shingle), "signatures")
-    firsts = written(sig.where("doc_id is not null").groupBy(F.col("same").alias("s")).agg(F.min("doc_id").alias("rep")), "firsts")
-    of_text = written(sig.join(firsts, sig.same == firsts.s, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "bands"), "copies")
-    members = of_text.where("doc_id = rep").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, shingle: int = 5, small: int = 32, rounds: int = 2, draws: int = 2, tile_rows: int = 256, by_row: bool = False) -> DataFrame:
+    """(doc_id, raw, class_no, class_id) for every row of docs: class_no is the class's own number, class_id the least doc_id in it.
+
+    raw is the text's MD5 if by_row, else null. small, rounds and draws say what the cheap rounds do, not what is found: the exact
+    part that follows them decides all pairs that they leave open."""
+    raw = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b"")) if by_row else F.lit(None).cast("binary")
+    sig = written(signatures(docs.select("doc_id", "text", raw.alias("raw")), bands, rows, shingle), "signatures")
+    firsts = sig.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
+    firsts = written(firsts.select(F.col("same").alias("s"), "rep", F.monotonically_increasing_id().alias("node")), "firsts")
+    of_text = written(sig.join(firsts, sig.same == firsts.s, "left").select("doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep", "bands"), "copies")
+    members = of_text.where("node is not null and doc_id = rep").select(F.explode("bands").alias("key"), F.col("node").alias("id")).distinct()
     shared = written(_buckets(members), "buckets")
-    sets = written(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi"), shingle).dropDuplicates(["id"]), "shingles")
+    wanted = written(firsts.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep", "left_semi")
+    sets = shingle_sets(texts, shingle).join(wanted, F.col("same") == F.col("s")).select(F.col("node").alias("id"), "items", "counts")
+    sets = written(sets.dropDuplicates(["id"]), "shingles")
 
-    roots = _merge(None, written(similar(_pairs(shared, "low"), sets, threshold), "links"))
+    roots = _merge(None, written(similar(_pairs(shared, "low"), sets, threshold, tile_rows), "links"))
     for turn in range(rounds):
         split = written(_split_buckets(shared.select("key", "id"), roots), "split")
         pairs = _rest_pairs(split.where(F.col("size") > small), range(turn * draws, (turn + 1) * draws))
         if turn == 0:
             pairs = pairs.union(_little_pairs(split.where(F.col("size") <= small))).distinct()
-        links = written(similar(pairs, sets, threshold), "links")
+        links = written(similar(pairs, sets, threshold, tile_rows), "links")
         if not links.limit(1).count():
             break
         roots = _merge(roots, links)
     left = written(_split_buckets(shared.select("key", "id"), roots).where(F.col("size") > small), "left")
     if left.limit(1).count():
         roots = _merge(roots, written(_exact_links(left, sets, threshold, tile_rows), "links"))
-    return of_text.join(roots, of_text.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    rooted = written(firsts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "rep", F.coalesce("root", "node").alias("class_no")), "rooted")
+    least = rooted.groupBy(F.col("class_no").alias("c")).agg(F.min("rep").alias("class_id"))
+    numbered = rooted.join(least, F.col("class_no") == F.col("c")).select(F.col("node").alias("n"), "class_no", "class_id")
+    return of_text.join(numbered, of_text.node == F.col("n"), "left").select("doc_id", "raw", "class_no", "class_id")
 
 
 def op9_bag_minhash(spark, sf_dir: str) -> DataFrame:
     """documents -> doc_id, class_id, class_size."""
-    found = classes(table(spark, sf_dir, "documents"))
-    sizes = found.groupBy(F.col("class_id").alias("c")).agg(F.count("*").alias("class_size"))
-    return found.join(sizes, found.class_id.eqNullSafe(sizes.c)).select("doc_id", "class_id", "class_size")
+    found = written(classes(table(spark, sf_dir, "documents")), "classes")
+    sizes = found.groupBy(F.col("class_no").alias("c")).agg(F.count("*").alias("class_size"))
+    return found.join(sizes, found.class_no.eqNullSafe(sizes.c)).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but the least doc_id of each class of near-duplicates; rows without doc_id stay."""
-    found = classes(docs, **how)
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """docs without all rows but one of each class of near-duplicates: that of least doc_id (of these, of least MD5 of its text;
+    of equal rows any). Rows that share a doc_id but not their class all stay, and so do rows without doc_id."""
+    found = written(classes(docs, by_row=True, **how).where("doc_id is not null"), "classes")
+    best = found.groupBy(F.col("class_no").alias("c")).agg(F.min(F.struct("doc_id", "raw")).alias("best"))
+    judged = found.join(best, F.col("class_no") == F.col("c")).select("doc_id", "raw", (F.struct("doc_id", "raw") == F.col("best")).alias("stays"))
+    judged = written(judged.groupBy("doc_id", "raw").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "judged")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
+    own_raw = F.coalesce(F.unhex(F.md5(docs.text.cast("binary"))), F.lit(b""))
+    kept = docs.join(gone, (docs.doc_id.cast("long") == F.col("__id")) & (own_raw == F.col("__raw")), "left_anti")
+    if judged.where("stays").limit(1).count():  # rows that occur more than once
+        again = judged.where("stays").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
+        marked = kept.join(again, (kept.doc_id.cast("long") == F.col("__id")) & (F.coalesce(F.unhex(F.md5(kept.text.cast("binary"))), F.lit(b"")) == F.col("__raw")), "left")
+        once = marked.where("__id is not null").dropDuplicates(["__id", "__raw"])
+        kept = marked.where("__id is null").unionByName(once).select(*docs.columns)
     return kept

@@ -109,7 +109,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
         path = vocabulary or vocabulary_path("byte_bpe_50k.json")
         coder = encoder(path)
         if path not in _ends:
-            _ends[path] = Ends(coder.tokenizer, coder.size)
+            _ends[path] = Ends(coder.tokenizer, coder.vocabulary_size)
         marks = _ends[path]
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # (doc_id, ids as bytes, ids before them in the document, ids of the document, sentence ends)

@@ -3,38 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RNG = np.random.default_rng(20240613)
-#: A random odd 64-bit value for each byte, and the base of the polynomial that a word's bytes are hashed by.
-BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Masks of the first 0 to 8 bytes of eight.
+SHORT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done = 1
-        while done < size:  # doubling: powers k..2k-1 are the first k times base**k
-            step = min(done, size - done)
-            have[done : done + step] = have[:step] * U(pow(base, done, 1 << 64))
-            done += step
-        _powers[base] = have
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every bit depends on every bit (the finaliser of MurmurHash3)."""
@@ -82,22 +64,120 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """n+1 prefix sums of the byte values times the powers of BASE, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    values = BYTE_VALUES[LOWER[data]] if lower else BYTE_VALUES[data]
-    np.cumsum(values * powers(BASE, len(data)), out=out[1:])
+def split_long(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """New offsets in which no text is much longer than limit, and the old text of each new one.
+
+    Longer texts are cut after white space; a run of over limit bytes without any stays whole."""
+    if not len(offsets) or (np.diff(offsets) <= limit).all():
+        return offsets, np.arange(len(offsets) - 1)
+    cuts = [offsets]
+    for i in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > limit:
+            stop = at + limit
+            while stop < end:  # the first white space from here on, looked for in steps
+                space = np.flatnonzero(IS_SPACE[data[stop : min(end, stop + 4096)]])
+                if len(space):
+                    stop += int(space[0]) + 1
+                    break
+                stop = min(end, stop + 4096)
+            if stop >= end:
+                break
+            cuts.append(np.array([stop]))
+            at = stop
+    fine = np.unique(np.concatenate(cuts)) if len(np.unique(offsets)) == len(offsets) else np.sort(np.concatenate(cuts))
+    extra = np.concatenate(cuts[1:]) if len(cuts) > 1 else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(offsets) - 1), 1 + np.bincount(np.searchsorted(offsets, extra, "right") - 1, minlength=len(offsets) - 1))
+    return fine, owner
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and n+1 positions of each text's words among them."""
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(IS_SPACE[data], out=inside[1:-1])
+    starts_here = inside[1:-1] & ~inside[:-2]
+    ends_here = inside[1:-1] & ~inside[2:]
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    starts_here[edge] = inside[1:-1][edge]
+    ends_here[edge - 1] = inside[1:-1][edge - 1]
+    starts = np.flatnonzero(starts_here)
+    ends = np.flatnonzero(ends_here) + 1
+    return starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; behind the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long_: int = 256) -> np.ndarray:
+    """64-bit hashes of spans that depend on their bytes alone, not on their place.
+
+    Spans are read eight bytes at a time, all spans together, and every eight bytes are mixed in by a bijection, so spans of up
+    to eight bytes and of equal length never collide. Spans of over long_ bytes are hashed by BLAKE2b."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U(BASE) + U(0x2545F4914F6CDD1D))
+    big = np.flatnonzero(size > long_)
+    if len(big):
+        raw = data.tobytes()
+        out[big] = [int.from_bytes(blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[big].tolist(), ends[big].tolist(), strict=True)]
+    eight = eights(data)
+    rest = np.flatnonzero((size > 0) & (size <= long_))
+    at, left = starts[rest], size[rest]
+    while len(rest):
+        block = eight[at] & SHORT[np.minimum(left, 8)]
+        out[rest] = mix(out[rest] * U(BASE) + block)
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray, long_: int = 256) -> np.ndarray:
+    """Whether spans of a and b of the same sizes hold the same bytes."""
+    out = np.ones(len(size), bool)
+    for i in np.flatnonzero(size > long_).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
+    rest = np.flatnonzero((size > 0) & (size <= long_))
+    x, y = eights(a), eights(b)
+    at, to, left = a_starts[rest], b_starts[rest], size[rest]
+    while len(rest):
+        same = (x[at] ^ y[to]) & SHORT[np.minimum(left, 8)] == 0
+        out[rest[~same]] = False
+        more = same & (left > 8)
+        rest, at, to, left = rest[more], at[more] + 8, to[more] + 8, left[more] - 8
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans that depend on their bytes alone, not on their place."""
-    return mix((prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, at = words(data, offsets)
+    return span_hashes(LOWER[data] if lower else data, starts, ends), starts, ends, at
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words, and the n+1 positions of each text's words. Long data is read in parts."""
+    if len(data) <= 1 << 22:
+        return _word_hashes(data, offsets, lower)
+    fine, _ = split_long(data, offsets)
+    parts = []
+    for lo, hi in blocks(fine):
+        base = fine[lo]
+        hashes, starts, ends, _ = _word_hashes(data[base : fine[hi]], fine[lo : hi + 1] - base, lower)
+        parts.append((hashes, starts + base, ends + base))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, starts, ends, np.searchsorted(starts, offsets, "left")
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as bytes, with A-Z lower-cased and a space after each word, and the n+1 offsets of the texts."""
     starts, ends, at = words(data, offsets)
-    return span_hashes(prefix_hash(data, lower), starts, ends), starts, ends, at
+    size = ends - starts + 1
+    first = np.cumsum(size) - size
+    total = int(size.sum())
+    shown = LOWER[np.append(data, np.uint8(32))[np.repeat(starts - first, size) + np.arange(total)]]
+    shown[first + size - 1] = 32
+    return shown, np.append(first, total)[at]
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -43,8 +43,9 @@ class Encoder:
     """Ids of batches of texts. The pieces of a batch are found and hashed by numpy, and each distinct one is looked up once.
 
     A piece of letters alone is one pre-token, so the library's model gets it as it stands, in its byte alphabet; other
-    pieces go through the whole tokenizer. Pieces are told apart by 64-bit hashes. At most about `most` are remembered: beyond
-    that, the half that was used longest ago is forgotten."""
+    pieces go through the whole tokenizer. Pieces are found by 64-bit hashes and then compared byte by byte (those of up to eight
+    bytes by length alone, as they can't share a hash); one that differs from what is remembered under its hash is encoded for
+    itself. At most about `most` are remembered: beyond that, the half that was used longest ago is forgotten."""
 
     def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,7 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size, self.most = self.tokenizer.get_vocab_size(), most
+        self.vocabulary_size, self.most = self.tokenizer.get_vocab_size(), most
         with open(path) as f:
             spec = json.load(f)
         before = json.dumps(spec.get("pre_tokenizer"))
@@ -70,7 +71,8 @@ class Encoder:
         self.model = self.tokenizer.model.tokenize
         self.hashes = np.empty(0, np.uint64)  # of remembered pieces, ascending
         self.first, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))  # where their ids are in flat, how many, and the batch of last use
-        self.flat, self.batch = np.empty(0, np.uint32), 0
+        self.size, self.raw_at = (np.empty(0, np.int64) for _ in range(2))  # their length, and where the bytes of those of over eight are in raw
+        self.flat, self.raw, self.batch = np.empty(0, np.uint32), np.empty(0, np.uint8), 0
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,8 +86,13 @@ class Encoder:
             piece = BLANK + piece[1:]
         return [t.id for t in self.model(piece)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Remembers pieces; hashes ascend and are not among those known."""
+        size = np.array([len(x) for x in pieces], np.int64)
+        long_ = np.where(size > 8, size, 0)
+        raw_at = len(self.raw) + np.cumsum(long_) - long_
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(x for x in pieces if len(x) > 8), np.uint8)])
+        pieces = [x.decode() for x in pieces]
         model, blank = self.model, self.spaced
         ids = []
         for x in pieces:  # the common kinds first: ASCII letters, after a blank where those count
@@ -100,7 +107,8 @@ class Encoder:
         flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.hashes, hashes)
         used = np.full(len(hashes), self.batch, np.int64)
-        self.hashes, self.first, self.count, self.used = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, count), (self.used, used)))
+        old, new = (self.hashes, self.first, self.count, self.used, self.size, self.raw_at), (hashes, first, count, used, size, raw_at)
+        self.hashes, self.first, self.count, self.used, self.size, self.raw_at = (np.insert(a, at, b) for a, b in zip(old, new, strict=True))
         self.flat = flat
 
     def _forget(self) -> None:
@@ -109,7 +117,25 @@ class Encoder:
         first, count = self.first[keep], self.count[keep]
         starts = np.cumsum(count) - count
         self.flat = self.flat[np.repeat(first - starts, count) + np.arange(count.sum())]
-        self.hashes, self.used, self.count, self.first = self.hashes[keep], self.used[keep], count, starts
+        size = self.size[keep]
+        long_ = np.where(size > 8, size, 0)
+        raw_at = np.cumsum(long_) - long_
+        self.raw = self.raw[np.repeat(self.raw_at[keep] - raw_at, long_) + np.arange(long_.sum())]
+        self.hashes, self.used, self.count, self.first, self.size, self.raw_at = self.hashes[keep], self.used[keep], count, starts, size, raw_at
+
+    def _strangers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, where: np.ndarray, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The pieces that differ from what is remembered under their hash."""
+        size = ends - starts
+        first = where[which]  # the first piece of the same hash in this batch
+        odd = size != size[first]
+        check = np.flatnonzero((size > 8) & ~odd & (first != np.arange(len(first))))
+        odd[check] = ~K.equal_spans(data, starts[check], data, starts[first[check]], size[check])
+        kept = size[where] == self.size[place]
+        check = np.flatnonzero(kept & (size[where] > 8))
+        kept[check] = K.equal_spans(data, starts[where[check]], self.raw, self.raw_at[place[check]], size[where[check]])
+        if not kept.all():
+            odd |= ~kept[which]
+        return np.flatnonzero(odd)
 
     def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces: of each word between plain white space, its first letters and what follows them."""
@@ -164,17 +190,20 @@ class Encoder:
             data[wide] += 0x20
         starts, ends = self._pieces(data, at)
         self.batch += 1
-        hashes, where, which = np.unique(K.span_hashes(K.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        hashes, where, which = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         fresh = self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        raw = memoryview(np.ascontiguousarray(data))
         if fresh.any():
-            raw = data.tobytes()
-            self._learn(hashes[fresh], [raw[a:b].decode() for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
+            self._learn(hashes[fresh], [bytes(raw[a:b]) for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
             place = np.searchsorted(self.hashes, hashes)
         self.used[place] = self.batch
-        count = self.count[place][which]
+        first, count, flat = self.first[place][which], self.count[place][which], self.flat
+        for i in self._strangers(data, starts, ends, where, which, place).tolist():
+            own = np.array(self._piece(bytes(raw[starts[i] : ends[i]]).decode()), np.uint32)
+            first[i], count[i], flat = len(flat), len(own), np.concatenate([flat, own])
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(self.first[place][which] - total[:-1], count) + np.arange(total[-1])]
+        ids = flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
         out_at = total[np.searchsorted(starts, at, "left")]
         if len(self.hashes) > self.most:
             self._forget()
