@@ -2,10 +2,13 @@
 
 A text is the multiset of its paragraphs (what newlines divide, empty ones included). Each paragraph is hashed to a wide
 vector, and a text's fingerprint is the sum of its paragraphs' vectors modulo powers of two, so it doesn't depend on their
-order, and a paragraph is inserted or deleted by adding or subtracting its vector. The vector has two parts: 4 lanes of 64
-bits from BLAKE2b, whose sum tells multisets apart, and 128 lanes of 16 bits to which each 3-word run of the paragraph (or
-the whole of a shorter one) adds +1 or -1 in one lane. The second part is a linear sketch: the cosine of two texts' lanes
-estimates how much of their wording they share (standard error about 0.09), which gives `likeness`, from 0 to 1.
+order, and a paragraph is inserted or deleted by adding or subtracting its vector. The vector has two parts: 32 lanes of 64
+bits from BLAKE2b in counter mode (2048 bits, so that no other multiset of the same sum can be put together by the generalised
+birthday attack), whose sum tells multisets apart, and 128 lanes of 32 bits to which each 3-word run of the paragraph (or the
+whole of a shorter one) adds +1 or -1 in one lane. The second part is a linear sketch: the cosine of two texts' lanes, read as
+signed numbers (exact up to 2**31 runs in a lane), estimates how much of their wording they share (standard error about 0.09),
+which gives `likeness`, from 0 to 1. Stored sums can be added and subtracted (`Fingerprints`); where only equality and likeness
+are asked for, as in the query, the first part is given as its BLAKE2b-256 digest (`digests`).
 
 Null texts count as empty; an empty text has one empty paragraph. Equal texts have equal fingerprints, and so have texts of
 the same paragraphs in another order. Extra columns are ignored.
@@ -26,11 +29,11 @@ from folio.llm import textkernel as K
 from folio.llm.common import id_bounds, parallelism, small_batches, table, with_block
 
 U = np.uint64
-STRONG, LANES, RUN = 4, 128, 3
+STRONG, LANES, RUN = 32, 128, 3
 
 
 class Fingerprints:
-    """Vectors of several texts: strong (n x 4, 64 bits) and lanes (n x 128, 16 bits)."""
+    """Vectors of several texts: strong (n x 32, 64 bits) and lanes (n x 128, 32 bits)."""
 
     def __init__(self, strong: np.ndarray, lanes: np.ndarray):
         self.strong, self.lanes = strong, lanes
@@ -42,12 +45,23 @@ class Fingerprints:
         return Fingerprints(self.strong - other.strong, self.lanes - other.lanes)
 
     def strings(self) -> list[str]:
-        return [base64.b64encode(s.astype("<u8").tobytes() + v.astype("<u2").tobytes()).decode() for s, v in zip(self.strong, self.lanes, strict=True)]
+        return [base64.b64encode(s.astype("<u8").tobytes() + v.astype("<u4").tobytes()).decode() for s, v in zip(self.strong, self.lanes, strict=True)]
+
+    def digests(self) -> list[str]:
+        """A digest of the sums, and the lanes; equal for equal fingerprints."""
+        return [base64.b64encode(blake2b(s.astype("<u8").tobytes(), digest_size=32).digest() + v.astype("<u4").tobytes()).decode() for s, v in zip(self.strong, self.lanes, strict=True)]
 
     @staticmethod
     def parse(strings: list[str]) -> Fingerprints:
         raw = [base64.b64decode(x) for x in strings]
-        return Fingerprints(np.array([np.frombuffer(x, "<u8", STRONG) for x in raw]).reshape(-1, STRONG), np.array([np.frombuffer(x, "<u2", LANES, STRONG * 8) for x in raw]).reshape(-1, LANES))
+        return Fingerprints(np.array([np.frombuffer(x, "<u8", STRONG) for x in raw]).reshape(-1, STRONG), np.array([np.frombuffer(x, "<u4", LANES, STRONG * 8) for x in raw]).reshape(-1, LANES))
+
+
+def paragraph_hashes(paragraphs: list[bytes]) -> np.ndarray:
+    """n x 32: of each paragraph's BLAKE2b-256, hashed with 0, 1, 2 and 3."""
+    counters = [i.to_bytes(1, "little") for i in range(STRONG // 8)]
+    firsts = [blake2b(x, digest_size=32).digest() for x in paragraphs]
+    return np.frombuffer(b"".join([blake2b(x + c).digest() for x in firsts for c in counters]), "<u8").reshape(-1, STRONG)
 
 
 def fingerprint(texts: list[bytes]) -> Fingerprints:
@@ -57,8 +71,9 @@ def fingerprint(texts: list[bytes]) -> Fingerprints:
     lanes = np.zeros((n, LANES), np.int64)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
     for i, text in enumerate(texts):
-        hashed = b"".join([blake2b(x, digest_size=8 * STRONG).digest() for x in text.split(b"\n")])
-        strong[i] = np.frombuffer(hashed, "<u8").reshape(-1, STRONG).sum(axis=0, dtype=np.uint64)
+        paragraphs = text.split(b"\n")
+        for lo in range(0, len(paragraphs), 1 << 14):
+            strong[i] += paragraph_hashes(paragraphs[lo : lo + (1 << 14)]).sum(axis=0, dtype=np.uint64)
     for lo, hi in K.blocks(offsets):
         data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
         at = offsets[lo : hi + 1] - offsets[lo]
@@ -69,12 +84,12 @@ def fingerprint(texts: list[bytes]) -> Fingerprints:
         cell = owner * LANES + (runs >> U(57)).astype(np.int64)
         sign = 1.0 - 2.0 * (runs & U(1)).astype(np.float64)
         lanes[lo:hi] = np.bincount(cell, weights=sign, minlength=(hi - lo) * LANES).reshape(-1, LANES).astype(np.int64)
-    return Fingerprints(strong, (lanes & 0xFFFF).astype(np.uint16))
+    return Fingerprints(strong, (lanes & 0xFFFFFFFF).astype(np.uint32))
 
 
 def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     """From 0 to 1: 1 for equal fingerprints, else the cosine of the lanes, seen as signed numbers, if it is positive."""
-    x, y = a.lanes.astype(np.uint16).view(np.int16).astype(float), b.lanes.astype(np.uint16).view(np.int16).astype(float)
+    x, y = a.lanes.astype(np.uint32).view(np.int32).astype(float), b.lanes.astype(np.uint32).view(np.int32).astype(float)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.where(norm > 0, norm, 1.0), 0.0, 1.0)
     return np.where((a.strong == b.strong).all(1) & (a.lanes == b.lanes).all(1), 1.0, cosine)
@@ -123,7 +138,7 @@ def op2_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
         last = fingerprint([following[-1].encode()])
         after = Fingerprints(np.vstack([own.strong[1:], last.strong]), np.vstack([own.lanes[1:], last.lanes]))
         return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in edited]), pa.array(own.strings()), pa.array(changed.strings()), pa.array(likeness(own, changed)), pa.array(likeness(own, after))],
+            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in edited]), pa.array(own.digests()), pa.array(changed.digests()), pa.array(likeness(own, changed)), pa.array(likeness(own, after))],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 

@@ -3,13 +3,15 @@
 Files below one folder, all Parquet:
   chunks/     key (BLAKE2b-128 of the payload), n, payload (little-endian ids, 16 bits if the vocabulary allows, else 32);
               each distinct chunk once
-  recipes/    doc_id, start (ids of all documents before it), n_tokens, keys, root (BLAKE2b-128 over the keys), block;
-              in ascending order of doc_id across and within files (nulls first; ties by their keys)
+  recipes/    doc_id, start (ids of all documents before it), n_tokens, keys, root (Merkle root over doc_id, start and
+              n_tokens, then the keys), block; in ascending order of doc_id across and within files (nulls first; ties by keys)
   manifests/  block, first_start, n_docs, n_tokens, root: the Merkle root over the block's document roots, in order
+  top/        n_blocks, n_docs, n_tokens and the Merkle root over the blocks' roots: one row
 
 A document is cut after an id where a hash of the last `reach` ids has its low bits zero, so equal passages cut alike whatever
-precedes them; chunks have between `least` and `most` ids, but for a document's last. Reading joins recipes with chunks,
-recomputes every key from its payload and the roots from the keys, and fails on any difference.
+precedes them; chunks have between `least` and `most` ids, but for a document's last. Reading first rebuilds the blocks' roots
+from the recipes and compares them with manifests and top, so that a lost, added or exchanged recipe or file is an error;
+then it joins recipes with chunks, recomputes every key from its payload and every document's root, and fails on any difference.
 
 Null and empty texts are their end id alone. Repeated rows are documents of their own with the same chunks. An empty table
 makes an empty store. Extra columns are ignored.
@@ -109,10 +111,14 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def document_root(doc_id: int | None, start: int, n_tokens: int, keys: list[bytes]) -> bytes:
+    return merkle([digest(repr((doc_id, start, n_tokens)).encode()), *keys])
+
+
 def _with_roots(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots = [merkle(x) for x in batch.column("keys").to_pylist()]
+            roots = [document_root(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "keys")), strict=True)]
             yield pa.record_batch([*batch.columns, pa.array(roots, pa.binary())], names=[*batch.schema.names, "root"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, keys array<binary>, block int, root binary")
@@ -165,6 +171,34 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     recipes = placed.join(F.broadcast(before), "block").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "keys", "block")
     _with_roots(recipes.repartitionByRange("block").sortWithinPartitions("start")).write.parquet(f"{path}/recipes")
     _block_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
+    blocks = _blocks(spark.read.parquet(f"{path}/manifests"))
+    spark.createDataFrame([_top(blocks)], "n_blocks long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/top")
+
+
+def _blocks(manifests: DataFrame) -> dict[int, tuple]:
+    """Manifests on the driver: a row a block, of which there are at most 20,000 (see id_bounds)."""
+    return {r["block"]: (r["first_start"], r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in manifests.collect()}
+
+
+def _top(blocks: dict[int, tuple]) -> tuple[int, int, int, bytes]:
+    ordered = [blocks[b] for b in sorted(blocks)]
+    return len(ordered), sum(x[1] for x in ordered), sum(x[2] for x in ordered), merkle([x[3] for x in ordered])
+
+
+def check_manifests(spark: SparkSession, path: str) -> None:
+    """Raises unless the recipes give the blocks of manifests/, these the row of top/, and the blocks follow each other gaplessly."""
+    small_batches(spark, 4000)
+    fresh, kept = _blocks(_block_roots(spark.read.parquet(f"{path}/recipes"))), _blocks(spark.read.parquet(f"{path}/manifests"))
+    top = spark.read.parquet(f"{path}/top").collect()
+    if len(top) != 1 or (*top[0][:3], bytes(top[0]["root"])) != _top(kept):
+        raise ValueError("manifests and top differ")
+    if wrong := sorted(b for b in {*fresh, *kept} if fresh.get(b) != kept.get(b)):
+        raise ValueError(f"recipes and manifests differ in {len(wrong)} blocks, the first being {wrong[0]}")
+    at = 0
+    for b in sorted(kept):
+        if kept[b][0] != at:
+            raise ValueError(f"block {b} begins at {kept[b][0]}, not at {at}")
+        at += kept[b][2]
 
 
 # CRC-32 of joined byte strings from the parts' CRCs: appending zero bytes is linear over the 32 bits.
@@ -224,7 +258,9 @@ def _checked_chunks(chunks: DataFrame, wide: bool) -> DataFrame:
 def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
-    Every chunk is read and verified once; a document's CRC comes from those of its chunks, so payloads need no shuffle."""
+    Every manifest, recipe and chunk is read and verified once; a document's CRC comes from those of its chunks' ids, so payloads
+    need no shuffle."""
+    check_manifests(spark, path)
     small_batches(spark, 4000)  # no texts here
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("keys").alias("place", "key"))
@@ -244,8 +280,9 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
             total = np.diff(sums[at])
             if (total != np.asarray(batch.column("n_tokens"), np.int64)).any():
                 raise ValueError("a document's chunks don't have its length")
-            for i, root in enumerate(batch.column("root").to_pylist()):
-                if merkle(keys[at[i] : at[i + 1]]) != root:
+            recipes = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)
+            for i, (doc_id, start, n_tokens, root) in enumerate(recipes):
+                if document_root(doc_id, start, n_tokens, keys[at[i] : at[i + 1]]) != root:
                     raise ValueError("a recipe is damaged")
             after = np.repeat(sums[at[1:]], np.diff(at)) - sums[1:]
             shifted = crc_after(crc, 4 * after)
@@ -257,6 +294,7 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 
 def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """(doc_id, start, ids array<long>): every document's ids, put together again from its chunks."""
+    check_manifests(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("keys").alias("place", "key"))
     small_batches(spark)
     joined = recipes.join(spark.read.parquet(f"{path}/chunks"), "key").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("parts"))

@@ -25,6 +25,36 @@ def test_fingerprints_are_homomorphic_and_order_free():
     assert likeness(whole, other).tolist() == [1.0]
 
 
+def brute_fingerprint(text):
+    """The sums of the paragraphs' vectors, and a count of signed 3-word runs, by plain Python."""
+    strong, runs = [0] * 32, collections.Counter()
+    for p in text.split("\n"):
+        first = hashlib.blake2b(p.encode(), digest_size=32).digest()
+        wide = b"".join(hashlib.blake2b(first + bytes([c])).digest() for c in range(4))
+        strong = [(s + int.from_bytes(wide[8 * k : 8 * k + 8], "little")) % 2**64 for k, s in enumerate(strong)]
+        w = re.findall(r"[^\x20\x09-\x0d]+", p)
+        runs.update(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)) if w)
+    return strong, runs
+
+
+def test_sums_and_lanes_against_brute_force():
+    texts = ["", "one", "a b c d\n\na b c d\nx", "a " * 100_000, "tab\tand\x0bmore\nÜñï\n"]
+    found = fingerprint([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        strong, runs = brute_fingerprint(t)
+        assert found.strong[i].tolist() == strong
+        lanes = np.zeros(128, np.int64)
+        for run, n in runs.items():  # a run's lane and sign, from a text that is this run alone
+            lanes += n * fingerprint([" ".join(run).encode()]).lanes[0].view(np.int32)
+        assert lanes.tolist() == found.lanes[i].view(np.int32).tolist()
+
+
+def test_likeness_of_very_repetitive_texts():
+    for n in (4000, 40000, 400000):
+        own, edited = fingerprint([b"a " * n]), fingerprint([b"a " * (n // 2) + b"b c d e f g h i j k " * 20])
+        assert likeness(own, edited)[0] > 0.99
+
+
 def test_op2_against_brute_force(spark, odd):
     rows = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text").collect()
     docs = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in rows))

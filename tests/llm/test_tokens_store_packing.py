@@ -1,6 +1,7 @@
 import functools
 import glob
 import itertools
+import os
 import random
 import zlib
 
@@ -95,11 +96,35 @@ def test_damage_is_found(spark, tmp_path):
     bad = [bytes([x[0] ^ 1]) + x[1:] for x in table["payload"].to_pylist()]
     pq.write_table(table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(bad, pa.binary())), file)
     for crc in glob.glob(f"{path}/chunks/.*.crc"):
-        __import__("os").remove(crc)
+        os.remove(crc)
     with pytest.raises(Exception, match="damaged"):
         idstore.read_digests(spark, path).collect()
 
 
+def rewritten(path, change):
+    """Replaces the rows of a store's table by what change makes of them."""
+    table = pq.read_table(path)
+    for f in glob.glob(f"{path}/*") + glob.glob(f"{path}/.*.crc"):
+        os.remove(f)
+    pq.write_table(change(table), f"{path}/part.parquet")
+
+
+@pytest.mark.parametrize(
+    ("table", "change"),
+    [
+        ("recipes", lambda t: t.set_column(0, "doc_id", pa.array([x + 1 for x in t["doc_id"].to_pylist()]))), ("recipes", lambda t: t.slice(0, t.num_rows - 3)), ("recipes", lambda t: pa.concat_tables([t, t.slice(5, 1)])),
+        ("manifests", lambda t: t.slice(1)), ("chunks", lambda t: t.slice(2)), ("top", lambda t: t.slice(0, 0)),
+    ],
+)
+def test_what_was_changed_after_writing_is_found(spark, tmp_path, table, change):
+    path = str(tmp_path / "store")
+    idstore.write_store(spark.createDataFrame([(i, f"text {i} " * (i + 1)) for i in range(40)], "doc_id long, text string"), path)
+    assert idstore.read_digests(spark, path).count() == 40
+    rewritten(f"{path}/{table}", change)
+    with pytest.raises(Exception, match="differ|damaged|missing|length"):
+        idstore.read_digests(spark, path).collect()
+
+
 def test_chunks_follow_the_content():
     rng = np.random.default_rng(0)
     body = rng.integers(0, 5000, 20000)
