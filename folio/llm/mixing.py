@@ -1,21 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame functions throughout.
 
 Documents are summed into cells (one for each combination of the dimensions' values that occurs). The cells' token weights
-are raked: for each dimension in turn they are scaled so that its margins meet the targets, for a fixed number of rounds. A
+are raked: for each dimension in turn they are scaled so that its margins meet the targets, for a fixed number of rounds; how
+far the margins then are from their targets is measured, and targets that can't be met together raise a warning. A
 cell's multiplier is its raked weight over its tokens. Documents are then drawn one by one with probability
 min(1, scale * multiplier), where the scale makes the expected tokens a given share of all; cells that would exceed 1 are
 held at 1 and the scale is solved for the others. A document's draw is a hash of its doc_id, so it is the same in every run.
 
-Only the cells' totals are iterated over; a window over one value's cells holds as many rows as the other dimensions have
-combinations, however many documents those stand for. A document meets its cell by an equi-join that Spark may broadcast or
-split; no document is grouped. Nulls in a dimension are a value of their own (shown as null). Null or
+Only the cells' totals are iterated over. A margin is a sum that is aggregated before its shuffle and joined back to the cells,
+so a value with any number of cells is dealt to many tasks. A document meets its cell by an equi-join that Spark may broadcast
+or split; no document is grouped. Nulls in a dimension are a value of their own (shown as null). Null or
 empty texts have no tokens and get their cell's probability; a cell without tokens has multiplier 0. Rows with equal doc_id,
 or null ones, are drawn alike. An empty table gives an empty result. Extra columns are kept by `mixed`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import table, written
@@ -45,22 +48,40 @@ def flattened(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return raised.select("value", (F.col("raised") / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, every: int = 2) -> DataFrame:
+def with_margin(cells: DataFrame, dimension: str) -> DataFrame:
+    """cells with __total, the weight of all cells of their value."""
+    margin = cells.groupBy(F.col(dimension).alias("__v")).agg(F.sum("weight").alias("__total"))
+    return cells.join(margin, F.col(dimension).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, tolerance: float = 0.01) -> DataFrame:
     """cells with weight: their tokens, raked to the targets' shares (weights sum to 1). Values without a target get 0.
 
-    The targets are joined to the cells once; a step then takes one window sum over the cells of each value, and no join."""
+    Warns if, after all rounds, a margin's shares are off by more than tolerance in sum."""
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for dimension, target in targets.items():
         now = now.join(target.select(F.col("value").alias("__v"), F.col("share").alias(f"__goal_{dimension}")), F.col(dimension).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn(f"__goal_{dimension}", F.coalesce(f"__goal_{dimension}", F.lit(0.0)))
-    for i in range(rounds):
+    now = written(now, "raked")
+    for _ in range(rounds):
         for dimension in targets:
-            total = F.sum("weight").over(Window.partitionBy(dimension))
-            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * (F.col(f"__goal_{dimension}") / total)).otherwise(0.0))
-        if (i + 1) % every == 0:
-            now = written(now, "raked")
+            scaled = F.when(F.col("__total") > 0, F.col("weight") * (F.col(f"__goal_{dimension}") / F.col("__total"))).otherwise(0.0)
+            now = with_margin(now, dimension).withColumn("weight", scaled).drop("__total")
+        now = written(now, "raked")
+    errors = margin_errors(now, list(targets))
+    if errors and max(errors.values()) > tolerance:
+        warnings.warn(f"raking has not met its targets; the margins are off by {errors}", stacklevel=2)
     return now.drop(*(f"__goal_{d}" for d in targets))
 
 
+def margin_errors(raked: DataFrame, dimensions: list[str]) -> dict[str, float]:
+    """By dimension, the sum of the differences between the raked shares and their targets, over all values with tokens."""
+    out = {}
+    for d in dimensions:
+        margin = raked.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"__goal_{d}").alias("goal"), F.sum("tokens").alias("tokens")).where("tokens > 0")
+        out[d] = margin.agg(F.sum(F.abs(F.col("w") - F.col("goal")))).first()[0] or 0.0
+    return out
+
+
 def probabilities(raked: DataFrame, share: float) -> DataFrame:
     """raked cells with multiplier and probability, such that share of all tokens is expected."""
     cells = written(raked.withColumn("multiplier", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)), "cells")

@@ -7,7 +7,9 @@ allow, less the share that they block, is its weight as a trusted seed if positi
 its pages are blocked. A host is blocked if it has more distrust than trust and more than `least` times an average host's.
 
 Each power step is two equi-joins of edges with ranks and one sum, which Spark aggregates before the shuffle, and its result
-is a written table, so that a lost executor costs one step. Rank that reaches a host without links on is lost.
+is a written table, so that a lost executor costs one step. Rank that reaches a host without links on goes back to the seeds,
+so both ranks keep the sum 1. Steps are taken until one changes trust and distrust by less than `tolerance` in sum, which
+after n steps is at most 2 * damping**n; if `steps` of them don't reach that, it is an error.
 
 A null url or one without :// has empty host and path, fits no rule and is no node: it is allowed. Null html has no links.
 Repeated rows count as pages each and are judged alike. Where no page is a seed, only rules block. Of rules that fit, the
@@ -67,21 +69,30 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.union(ladder).where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float = 0.01, every: int = 3) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, good, bad), each of which sums to 1 or is 0."""
     out = edges.groupBy(F.col("src").alias("o")).agg(F.sum("weight").alias("w_out"))
     into = edges.groupBy(F.col("dst").alias("i")).agg(F.sum("weight").alias("w_in"))
     edges = written(edges.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select("src", "dst", (F.col("weight") / F.col("w_out")).alias("along"), (F.col("weight") / F.col("w_in")).alias("against")), "edges")
     ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    first = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
-    for _ in range(steps):
+    for step in range(steps):
         good = edges.join(ranks.where("trust > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("along") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
         bad = edges.join(ranks.where("distrust > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("against") * F.col("distrust") * damping).alias("distrust"))
-        ranks = written(first.union(good).union(bad).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
-    return ranks
-
-
-def judged(pages: DataFrame, rules: DataFrame, steps: int = 10, damping: float = 0.85, least: float = 1.0) -> DataFrame:
+        moved = good.union(bad).union(seeds.select("host", F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        moved = written(moved, "ranks")
+        kept = moved.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
+        # what did not arrive anywhere, and what is not handed on, goes to the seeds
+        own = seeds.select(F.col("host").alias("h"), (F.col("good") * (1 - (kept["t"] or 0.0))).alias("g"), (F.col("bad") * (1 - (kept["d"] or 0.0))).alias("b"))
+        before, ranks = ranks, moved.join(own, F.col("host") == F.col("h"), "left").select("host", (F.col("trust") + F.coalesce("g", F.lit(0.0))).alias("trust"), (F.col("distrust") + F.coalesce("b", F.lit(0.0))).alias("distrust"))
+        if (step + 1) % every == 0 or step + 1 == steps:
+            both = ranks.union(before.select("host", -F.col("trust"), -F.col("distrust")))
+            change = both.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0
+            if change <= tolerance:
+                return ranks
+    raise RuntimeError(f"ranks still change by {change} after {steps} steps")
+
+
+def judged(pages: DataFrame, rules: DataFrame, least: float = 1.0, **how) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_trust, host_distrust) of every row of pages (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     light = written(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
@@ -91,9 +102,9 @@ def judged(pages: DataFrame, rules: DataFrame, steps: int = 10, damping: float =
     lead = (F.col("good") - F.col("bad")) / F.col("pages")
     raw = hosts.where("host != ''").select("host", F.greatest(lead, F.lit(0.0)).alias("good"), F.when(F.col("bad") * 2 > F.col("pages"), F.greatest(-lead, F.lit(0.0))).otherwise(0.0).alias("bad"))
     sums = raw.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("n")).first()
-    seeds = raw.select("host", (F.col("good") / F.lit(sums["g"] or 1.0)).alias("good"), (F.col("bad") / F.lit(sums["b"] or 1.0)).alias("bad"))
+    seeds = written(raw.select("host", (F.col("good") / F.lit(sums["g"] or 1.0)).alias("good"), (F.col("bad") / F.lit(sums["b"] or 1.0)).alias("bad")), "seeds")
     edges = host_edges(pages.select(host.alias("host"), "html"), hosts)
-    ranks = spread(edges, seeds, steps, damping)
+    ranks = spread(edges, seeds, **how)
     n = float(max(1, sums["n"]))
     per_host = hosts.select(F.col("host").alias("h")).join(fit.withColumnRenamed("host", "f"), F.col("h") == F.col("f"), "left").join(ranks, F.col("h") == F.col("host"), "left").select("h", "rules", F.coalesce("trust", F.lit(0.0)).alias("host_trust"), F.coalesce("distrust", F.lit(0.0)).alias("host_distrust"))
     by_graph = F.when((F.col("host_distrust") > F.col("host_trust")) & (F.col("host_distrust") * n > least), "block").otherwise("allow")

@@ -65,6 +65,13 @@ def test_raking_meets_all_targets(spark):
     assert raked_frame.count() == 24
 
 
+def test_targets_that_contradict_each_other_warn(spark):
+    cells = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "source string, lang string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "value string, share double")}
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.rake(cells, targets, rounds=3)
+
+
 def test_values_without_target_get_nothing(spark):
     cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "x", "t", 5), (None, "x", "t", 0)], "source string, lang string, topic string, tokens long")
     raked = mixing.rake(cells, {"source": spark.createDataFrame([("a", 1.0)], "value string, share double")}, rounds=2).toPandas()
