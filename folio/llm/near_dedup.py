@@ -121,25 +121,28 @@ def _shingled(texts: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndar
 
 
 def signatures(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
-    """(doc_id, raw, same, bands) of every row of docs (doc_id, text, raw): same is equal for texts of equal words, bands has the
-    band keys (none for a text without words)."""
+    """(doc_id, raw, same, bytes, bands) of every row of docs (doc_id, text, raw): same is equal for texts of equal words, bytes is
+    what the text's shingle set will take, bands has the band keys (none for a text without words)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same: list[bytes] = []
+            sets: list[np.ndarray] = []
             keys: list[np.ndarray] = []
             for lo, hi, owner, items, weight, equal in _shingled(batch.column("text"), shingle):
                 signature = bag_minhash(owner, items, weight, hi - lo, bands * rows)
                 found = band_keys(signature, bands, rows).view(np.int64)
-                has = np.bincount(owner, minlength=hi - lo) > 0
+                many = np.bincount(owner, minlength=hi - lo)
                 same += equal
-                keys += [found[i] if has[i] else found[i][:0] for i in range(hi - lo)]
+                sets.append(12 * many)
+                keys += [found[i] if many[i] else found[i][:0] for i in range(hi - lo)]
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("raw"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(flat))], names=["doc_id", "raw", "same", "bands"])
+            columns = [batch.column("doc_id"), batch.column("raw"), pa.array(same, pa.binary()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]), pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(flat))]
+            yield pa.record_batch(columns, names=["doc_id", "raw", "same", "bytes", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "raw").mapInArrow(run, "doc_id long, raw binary, same binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "raw").mapInArrow(run, "doc_id long, raw binary, same binary, bytes long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
@@ -161,11 +164,11 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float, tile_rows: int = 256, tile_bytes: int = 4 << 20) -> DataFrame:
-    """The links (a, b), a < b, among pairs (hub, id): those whose exact multiset Jaccard similarity reaches the threshold.
+    """The links (a, b), a < b, among pairs (hub, id, bytes of id): those whose exact multiset Jaccard similarity reaches the threshold.
 
     A hub's pairs are dealt to tiles of about tile_rows members or tile_bytes of shingles; a tile holds its hub once, and compares
     it with all its members at once."""
-    sized = written(pairs.join(sets.select("id", F.length("items").alias("bytes")), "id").select("hub", "id", "bytes"), "pairs")
+    sized = written(pairs, "pairs")
     tiles = sized.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.greatest(F.count("*") / tile_rows, F.sum("bytes") / tile_bytes)).cast("int").alias("wide"))
     dealt = sized.join(tiles, F.col("hub") == F.col("h")).select("hub", "id", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int").alias("tile"), F.lit(1).alias("side"))
     hubs = tiles.select(F.col("h").alias("hub"), F.col("h").alias("id"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("tile"), F.lit(0).alias("side"))
@@ -174,27 +177,27 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float, tile_rows: int
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """(key, id, low) of every member (key, id) of a bucket of two or more; low is the bucket's least id."""
+    """(key, id, bytes, low) of every member (key, id, bytes) of a bucket of two or more; low is the bucket's least id."""
     hubs = written(members.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high"), "hubs")
-    return members.join(hubs, members.key == hubs.k).select("key", "id", "low")
+    return members.join(hubs, members.key == hubs.k).select("key", "id", "bytes", "low")
 
 
 def _pairs(rows: DataFrame, *others: str) -> DataFrame:
-    """The distinct pairs (hub, id) of id with each of the other columns."""
-    return rows.select("id", F.explode(F.array_distinct(F.array(*others))).alias("hub")).where("id != hub").select("hub", "id").distinct()
+    """The distinct pairs (hub, id, bytes) of id with each of the other columns."""
+    return rows.select("id", "bytes", F.explode(F.array_distinct(F.array(*others))).alias("hub")).where("id != hub").select("hub", "id", "bytes").distinct()
 
 
 def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, root, size) of the members (key, id) of buckets that hold more than one component."""
-    rooted = written(members.join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    """(key, id, bytes, root, size) of the members (key, id, bytes) of buckets that hold more than one component."""
+    rooted = written(members.join(roots, members.id == roots.node, "left").select("key", "id", "bytes", F.coalesce("root", "id").alias("root")), "rooted")
     sizes = written(rooted.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("k", "size"), "sizes")
-    return rooted.join(sizes, rooted.key == sizes.k).select("key", "id", "root", "size")
+    return rooted.join(sizes, rooted.key == sizes.k).select("key", "id", "bytes", "root", "size")
 
 
 def _little_pairs(buckets: DataFrame) -> DataFrame:
     """All pairs of different components in small buckets."""
-    left, right = (buckets.select("key", F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    return left.join(right, "key").where("ra != rb and a < b").select(F.col("a").alias("hub"), F.col("b").alias("id")).distinct()
+    left, right = (buckets.select("key", F.col("id").alias(x), F.col("root").alias(f"r{x}"), F.col("bytes").alias(f"s{x}")) for x in "ab")
+    return left.join(right, "key").where("ra != rb and a < b").select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("sb").alias("bytes")).distinct()
 
 
 def _rest_pairs(buckets: DataFrame, salts: range) -> DataFrame:
@@ -205,7 +208,7 @@ def _rest_pairs(buckets: DataFrame, salts: range) -> DataFrame:
     others = [F.max_by(name, F.xxhash64(name, F.lit(salt))).alias(f"any{salt}") for name, salt in zip(names, salts, strict=True)]
     main = written(parts.groupBy(F.col("key").alias("k")).agg(F.max_by(F.struct("root", *names), F.struct("n", "root")).alias("main"), *others), "mains")
     rest = buckets.join(main, buckets.key == main.k).where("root != main.root")
-    return _pairs(rest.select("id", *(f"main.{n}" for n in names), *(f"any{salt}" for salt in salts)), *names, *(f"any{salt}" for salt in salts))
+    return _pairs(rest.select("id", "bytes", *(f"main.{n}" for n in names), *(f"any{salt}" for salt in salts)), *names, *(f"any{salt}" for salt in salts))
 
 
 def _overlaps(items: np.ndarray, counts: np.ndarray, others: np.ndarray, other_counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -240,10 +243,10 @@ def _tile_links(tile: pa.Table, threshold: float, each: bool = False) -> pa.Tabl
 
 
 def _exact_links(buckets: DataFrame, sets: DataFrame, threshold: float, tile_rows: int, tile_bytes: int = 4 << 20) -> DataFrame:
-    """All similar pairs of different components in buckets (key, id, root), up to equal components: every member outside a
+    """All similar pairs of different components in buckets (key, id, bytes, root), up to equal components: every member outside a
     bucket's main component is compared with all members. Both are dealt by hash to parts of about tile_rows members or
     tile_bytes of shingles, and each part meets each in a task's tile, so that only parts are held and repeated."""
-    sized = written(buckets.select("key", "id", "root").join(sets.select("id", F.length("items").alias("bytes")), "id"), "sized")
+    sized = buckets.select("key", "id", "bytes", "root")
     parts = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     deal = lambda n, size: F.ceil(F.greatest(n / tile_rows, size / tile_bytes)).cast("int")
     of_bucket = parts.groupBy("key").agg(F.max_by(F.struct("root", "n", "bytes"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
@@ -279,8 +282,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
     sig = written(signatures(docs.select("doc_id", "text", raw.alias("raw")), bands, rows, shingle), "signatures")
     firsts = sig.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     firsts = written(firsts.select(F.col("same").alias("s"), "rep", F.monotonically_increasing_id().alias("node")), "firsts")
-    of_text = written(sig.join(firsts, sig.same == firsts.s, "left").select("doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep", "bands"), "copies")
-    members = of_text.where("node is not null and doc_id = rep").select(F.explode("bands").alias("key"), F.col("node").alias("id")).distinct()
+    of_text = written(sig.join(firsts, sig.same == firsts.s, "left").select("doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep", "bytes", "bands"), "copies")
+    members = of_text.where("node is not null and doc_id = rep").select(F.explode("bands").alias("key"), F.col("node").alias("id"), "bytes").distinct()
     shared = written(_buckets(members), "buckets")
     wanted = written(firsts.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep", "left_semi")
@@ -289,7 +292,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
 
     roots = _merge(None, written(similar(_pairs(shared, "low"), sets, threshold, tile_rows), "links"))
     for turn in range(rounds):
-        split = written(_split_buckets(shared.select("key", "id"), roots), "split")
+        split = written(_split_buckets(shared.select("key", "id", "bytes"), roots), "split")
         pairs = _rest_pairs(split.where(F.col("size") > small), range(turn * draws, (turn + 1) * draws))
         if turn == 0:
             pairs = pairs.union(_little_pairs(split.where(F.col("size") <= small))).distinct()
@@ -297,7 +300,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
         if not links.limit(1).count():
             break
         roots = _merge(roots, links)
-    left = written(_split_buckets(shared.select("key", "id"), roots).where(F.col("size") > small), "left")
+    left = written(_split_buckets(shared.select("key", "id", "bytes"), roots).where(F.col("size") > small), "left")
     if left.limit(1).count():
         roots = _merge(roots, written(_exact_links(left, sets, threshold, tile_rows), "links"))
     rooted = written(firsts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "rep", F.coalesce("root", "node").alias("class_no")), "rooted")
