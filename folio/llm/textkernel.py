@@ -64,10 +64,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def split_long(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def split_long(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20, within: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """New offsets in which no text is much longer than limit, and the old text of each new one.
 
-    Longer texts are cut after white space; a run of over limit bytes without any stays whole."""
+    Longer texts are cut after white space, however far that is, or at most `within` bytes from where they are due."""
     if not len(offsets) or (np.diff(offsets) <= limit).all():
         return offsets, np.arange(len(offsets) - 1)
     cuts = [offsets]
@@ -75,7 +75,7 @@ def split_long(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> t
         at, end = int(offsets[i]), int(offsets[i + 1])
         while end - at > limit:
             stop = at + limit
-            while stop < end:  # the first white space from here on, looked for in steps
+            while stop < end and (within is None or stop < at + limit + within):  # the first white space, looked for in steps
                 space = np.flatnonzero(IS_SPACE[data[stop : min(end, stop + 4096)]])
                 if len(space):
                     stop += int(space[0]) + 1

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,47 @@ def test_odd_texts(spark, odd):
     assert len({(r.lang_pred, r.score) for r in rows if r.doc_id in (6, 7)}) == 1
 
 
+FOREIGN = [
+    "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset ja se on yksi maan kansalliskielistä", "Русский язык является одним из самых распространённых языков мира и государственным языком",
+    "xkqz vbrt plwm zzkj qwrt hjkl vbnm trdf gkkp wqzx bdfg hjkp qxzv wrtp lkjh mnbv", "Türkçe, Türk dilleri içinde en çok konuşulan dildir ve Türkiye'nin resmî dilidir", "ghfjdk sltyru qpwoei mznxbc vlakdj fhgtyr uwieop zmxncb vqlwke jrhtyg",
+]
+
+
+def test_foreign_and_random_texts_are_rejected_and_mixed_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.fold(3) != 1))
+    assert 1e-3 < model.temperature < 100 and 0.3 < model.least_known < 0.97
+    assert langid.judge(model, pa.array(FOREIGN))[2].all()
+    by_lang = docs.where("text is not null and length(text) > 400").where(langid.fold(3) == 1).toPandas().groupby("lang").text.first()
+    both = [a[:400] + " " + b[:400] for a, b in zip(by_lang, by_lang[1:], strict=False)]
+    assert len(both) == 3 and not langid.judge(model, pa.array([*by_lang, *both]))[2].any()
+
+
+def test_prediction_against_brute_force(spark):
+    """Sums over all features of whole texts, one by one, in plain Python; long texts are read in parts of few bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(langid.fold(3) != 1), per_language=20)
+    texts = [*(r.text for r in docs.limit(30).collect() if r.text), "ab " * 3000 + "ünd", "x" * 5000, "", "12 ."]
+    data, offsets = langid.K.views(pa.array(texts))
+    logits, share, many = langid.evidence(model, data, offsets, part=1000)
+    for i, t in enumerate(texts[:-3]):
+        shown = " " + "".join(chr(langid.SHOWN[b]) for b in t.encode()) + " "
+        want = [("3", shown[k : k + 3]) for k in range(len(shown) - 2) if shown[k + 1] != " "] + [("4", shown[k : k + 4]) for k in range(len(shown) - 3) if " " not in shown[k + 1 : k + 3]] + [("w", w) for w in shown.split()]
+        ids, _ = langid.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), model.known_bits)
+        assert len(ids) == len(want) == many[i]
+        assert np.allclose(logits[i], np.mean([model.scores[k >> (model.known_bits - model.bits)] for k in ids.tolist()], axis=0), atol=1e-4)
+        assert share[i] == pytest.approx(np.mean(np.unpackbits(model.known)[ids]))
+    assert langid.have_letters(pa.array(["é", "12 –", "", None, "日本", "١٢"]), *langid.K.views(pa.array(["é", "12 –", "", None, "日本", "١٢"]))).tolist() == [True, False, False, False, True, False]
+
+
+def test_temperature_lies_inside_its_grid():
+    rng = np.random.default_rng(0)
+    truth = rng.integers(0, 3, 500)
+    for scale in (0.1, 1, 30):
+        t = langid.fit_temperature(np.eye(3)[truth] * scale + rng.normal(0, 0.05 * scale, (500, 3)), truth)
+        assert 2e-3 < t < 50
+
+
 def test_features_see_words_and_case_alike():
     def of(*texts):
         raw = [t.encode() for t in texts]

@@ -5,10 +5,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from test_fingerprints_and_dedup import brute_classes
 from test_tokens_store_packing import NAMES, ids_of
 
 import corpus_pipeline
+from folio.llm import langid
 from folio.llm.common import written
 from folio.llm.mixing import mix_sql
 
@@ -22,7 +24,12 @@ def test_stages_against_brute_force(spark, data):
     rows = {r.doc_id: r.text for r in docs.collect()}
 
     step = written(stages["language_id"](spark, docs, data))
-    assert {r.doc_id for r in step.collect()} == {i for i, t in rows.items() if t and any(c.isalpha() for c in t)}
+    kept = {r.doc_id for r in step.collect()}
+    texts_ = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
+    best, score, rejected = langid.judge(langid.fit(docs.where(langid.fold(3) != 1)), pa.array(texts_.values(), pa.string()))
+    assert kept == {i for i, r in zip(texts_, rejected.tolist(), strict=True) if not r}
+    clean = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").collect()}
+    assert clean & set(texts_) <= kept
 
     texts = {r.doc_id: r.text for r in step.collect()}
     step = written(stages["near_dedup"](spark, step, data))
