@@ -154,6 +154,30 @@ def brute_lm(rows):
     return {k: (held[k], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for k, ws in words.items()}
 
 
+def brute_pairs(rows, strength=4.0, base=1.5):
+    """log10 probabilities with plain counters, quantised by comparing with powers, and without any filter."""
+    words = {k: [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)), None] for k, t in rows.items()}
+    train = [ws for k, ws in words.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    ones, twos = collections.Counter(w for ws in train for w in ws), collections.Counter(p for ws in train for p in zip([0, *ws], ws, strict=False))
+    n, v = sum(ones.values()), len(ones)
+
+    def span(c):
+        """The least and greatest count of c's level."""
+        if not c:
+            return 0, 0
+        level = next(q for q in range(1, 99) if c < base**q - 1e-9)
+        same = [x for x in range(1, 2 * c + 3) if base ** (level - 1) - 1e-9 <= x < base**level - 1e-9]
+        return same[0], same[-1]
+
+    spans = {c: span(c) for c in {0, *ones.values(), *twos.values()}}
+
+    def p(w, before):
+        up = spans[ones[None if before == 0 else before]][1]
+        return (min(spans[twos[before, w]][0], up) + strength * (spans[ones[w]][0] + 1) / (n + v + 1)) / (up + strength)
+
+    return {k: sum(math.log10(p(w, b)) for b, w in zip([0, *ws], ws, strict=False)) for k, ws in words.items()}, p, ones
+
+
 @pytest.mark.parametrize("head", [1 << 19, 200, 0])
 def test_base_scores_against_brute_force(spark, data, monkeypatch, head):
     fit = bloom_lm.fit
@@ -167,23 +191,44 @@ def test_base_scores_against_brute_force(spark, data, monkeypatch, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_filter_counts_are_close_and_never_low():
+def test_scores_against_brute_force_in_one_pass_and_in_many(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    want, p, ones = brute_pairs({r.doc_id: r.text for r in docs.collect()})
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    got = []
+    for most, head in ((1 << 27, 1 << 19), (20_000, 50)):
+        model = bloom_lm.fit(train, most_bytes=most, head=head)
+        assert (len(model.groups) > 3) == (most == 20_000) and all(len(model.filter(g).data) <= most for g in model.groups)
+        got.append({r.doc_id: r for r in bloom_lm.scores(docs, model).collect()})
+    for k, r in got[0].items():
+        assert r.score == pytest.approx(got[1][k].score) and r.base_score == pytest.approx(got[1][k].base_score) and (r.n_tokens, r.n_known) == (got[1][k].n_tokens, got[1][k].n_known)
+        assert r.score < 0 and abs(r.score - want[k]) < 0.03 * abs(want[k]) + 1  # false positives of the filter
+    # a distribution: over all known words and one unknown, probabilities sum to at most 1 and nearly to 1
+    for before in [*list(ones)[:20], 0, "never seen"]:
+        total = sum(p(w, before) for w in [*ones, "unknown word"])
+        assert 0.6 < total <= 1 + 1e-9
+
+
+def test_empty_training_texts_give_no_probability_above_one(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(12)] + [(50, "a b")], "doc_id long, text string")
+    model = bloom_lm.fit(docs.where("doc_id < 50"))
+    rows = {r.doc_id: r for r in bloom_lm.scores(docs, model).collect()}
+    assert all(r.score <= 0 for r in rows.values()) and rows[50].score < rows[0].score
+    nothing = bloom_lm.scores(docs, bloom_lm.fit(docs.where("false"))).collect()
+    assert len(nothing) == 13 and all(r.n_known == 0 and r.score <= 0 for r in nothing)
+
+
+def test_filter_levels_are_close_and_never_low():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 1 << 63, 20000).astype(np.uint64)
     counts = np.floor(rng.pareto(1.0, 20000) + 1).astype(np.int64)
-    levels = (np.floor(np.log(counts) / math.log(1.5) + 1e-9) + 1).astype(np.int64)
-    bits = int(levels.sum()) * 10 // 8 // 64 * 64
-    f = bloom_lm.LogFilter(8, bits, 1.5, np.zeros((8, bits // 8), np.uint8))
-    f.insert(grams, levels)
-    found = f.counts(grams)
-    low = 1.5 ** (levels - 1)
-    assert (found >= np.floor(low)).all() and (found < 1.5**levels).mean() > 0.97  # one-sided error
-    assert (f.counts(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.03
-
-
-def test_filter_stays_within_its_bound(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("text")
-    model = bloom_lm.fit(docs, most_bits=1 << 17, segment_bits=1 << 14)
-    assert model.filter.data.size * 8 <= 1 << 17
-    ones = np.unpackbits(model.filter.data).mean()
-    assert 0.05 < ones < 0.6
+    quantised = bloom_lm.Levels(1.5)
+    levels = quantised.of(counts)
+    assert ((quantised.least(levels) <= counts) & (counts <= quantised.greatest(levels))).all()
+    f = bloom_lm.LogFilter.of(64, bloom_lm.built(grams, levels, 64))
+    assert len(f.data) <= levels.sum() * bloom_lm.ITEM_BITS / 8 + 64 * 8
+    found = f.levels(grams)
+    assert (found >= levels).all() and (found == levels).mean() > 0.97  # one-sided error
+    assert (f.levels(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.03
+    half = bloom_lm.LogFilter.of(64, {k: v for k, v in bloom_lm.built(grams, levels, 64).items() if k < 32})
+    assert (half.holds(grams) == (half.segment(grams) < 32)).all()
