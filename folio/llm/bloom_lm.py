@@ -291,7 +291,7 @@ def _levels_by_groups(state: DataFrame, model: Model) -> DataFrame:
     return state
 
 
-def scores(docs: DataFrame, model: Model, strength: float = 4.0) -> DataFrame:
+def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)

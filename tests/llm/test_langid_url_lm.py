@@ -154,7 +154,7 @@ def brute_lm(rows):
     return {k: (held[k], len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for k, ws in words.items()}
 
 
-def brute_pairs(rows, strength=4.0, base=1.5):
+def brute_pairs(rows, strength=256.0, base=1.5):
     """log10 probabilities with plain counters, quantised by comparing with powers, and without any filter."""
     words = {k: [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER)), None] for k, t in rows.items()}
     train = [ws for k, ws in words.items() if zlib.crc32(str(k).encode()) % 7 != 2]
