@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import json
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.documents import latest
+
 
 @dataclass(frozen=True)
 class Trigger:
@@ -67,31 +70,71 @@ class JobSkipped(RuntimeError):
     pass
 
 
+RUNS = "id string, job string, state string, started double, ended double, error string, metadata string, number long"
+
+
 class Jobs:
-    """Registered jobs and the log of their runs: PENDING, RUNNING, then SUCCESS, FAILURE or SKIPPED."""
+    """Registered jobs and the log of their runs: PENDING, RUNNING, then SUCCESS, FAILURE or SKIPPED.
+
+    With keep(), every state of a run and the job's metadata after it are rows of a table: another process sees which runs are
+    RUNNING, and register() takes up the metadata where the last run left it."""
 
     def __init__(self) -> None:
         self.jobs: dict[str, Job] = {}
         self.runs: list[JobRun] = []
+        self.spark: SparkSession | None = None
+        self.path = ""
+
+    def keep(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def stored(self) -> DataFrame | None:
+        """The newest state of every run; None if nothing is kept."""
+        try:
+            rows = self.spark.read.schema(RUNS).parquet(self.path) if self.spark else None
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return latest(rows, "id", "number") if rows is not None else None
+
+    def _note(self, run: JobRun, state: str) -> None:
+        run.state = state
+        if self.spark:
+            metadata = json.dumps(self.jobs[run.job].metadata, default=str)
+            row = (run.id, run.job, state, run.started, run.ended, run.error, metadata, time.time_ns())
+            self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(self.path)
 
     def register(self, job: Job) -> Job:
         job.hash = job.source_hash()
+        kept = self.stored()
+        if kept is not None:
+            last = kept.where(F.col("job") == job.name).agg(F.max_by("metadata", "number")).first()[0]
+            job.metadata.update(json.loads(last) if last else {})
         self.jobs[job.name] = job
         return job
 
+    def _busy(self, job: Job) -> bool:
+        if any(r.job == job.name and r.state == "RUNNING" for r in self.runs):
+            return True
+        kept = self.stored()
+        return kept is not None and kept.where((F.col("job") == job.name) & (F.col("state") == "RUNNING")).limit(1).count() > 0
+
     def run(self, name: str, **args) -> JobRun:
         job = self.jobs[name]
         run = JobRun(uuid.uuid4().hex, name, "PENDING", time.time())
         self.runs.append(run)
-        busy = job.singleton and any(r.job == name and r.state == "RUNNING" for r in self.runs)
+        busy = job.singleton and self._busy(job)
         if not job.enabled or busy or job.source_hash() != job.hash:
-            run.state, run.ended = "SKIPPED", time.time()
+            run.ended = time.time()
+            self._note(run, "SKIPPED")
             raise JobSkipped(f"{name} is {'disabled' if not job.enabled else 'running' if busy else 'changed since it was registered'}")
-        run.state = "RUNNING"
+        self._note(run, "RUNNING")
+        state = "SUCCESS"
         try:
             run.result = job.run(job.defaults | args, job.metadata)
-            run.state = "SUCCESS"
         except Exception as e:  # the run records it
-            run.state, run.error = "FAILURE", f"{type(e).__name__}: {e}"
+            state, run.error = "FAILURE", f"{type(e).__name__}: {e}"
         run.ended = time.time()
+        self._note(run, state)
         return run

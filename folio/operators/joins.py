@@ -17,28 +17,28 @@ def array_join(left: DataFrame, right: DataFrame, array: str, key: str = "_id",
 
     The array is exploded and joined by equality, so Spark hashes or sorts by the key; a predicate with array_contains would
     compare every pair. An id that an array holds twice matches twice (inner, left, right). A left row without match, be its
-    array null, empty or of unknown ids, occurs once with nulls (left), and a right row that no array names likewise (right)."""
+    array null, empty or of unknown ids, occurs once with nulls (left), and a right row that no array names likewise (right).
+    Whether a left row has a match depends on its array alone: distinct arrays are exploded, and the left rows meet those that
+    match by an equality of arrays, so no row needs a number and none is carried through a grouping."""
     clash = set(left.columns) & set(right.columns)
     if clash and how in ("inner", "left", "right"):
         raise ValueError(f"rename the columns {sorted(clash)} of one side first")
     item = _fresh("item")
     items = left.withColumn(item, F.explode(array))
-    on = F.col(item).eqNullSafe(right[key]) & F.col(item).isNotNull()
     inner = lambda: items.join(right, F.col(item) == right[key]).drop(item)
     if how == "inner":
         return inner()
     keys = right.select(F.col(key).alias(_fresh("key"))).distinct()
     name = keys.columns[0]
     if how in ("left", "semi", "anti"):
-        row = _fresh("row")
-        if how == "left":
-            # ids that no right row has go first, so that a row is kept once if none is left of its array
-            known = left.withColumn(row, F.monotonically_increasing_id()).withColumn(item, F.explode_outer(F.array_distinct(array))).join(keys, F.col(item) == F.col(name), "left")
-            lonely = known.groupBy(row).agg(F.max(F.col(name).isNotNull()).alias("hit"), *(F.first(F.col(c)).alias(c) for c in left.columns)).where("not hit").select(*left.columns)
-            return inner().unionByName(lonely, allowMissingColumns=True)
-        known = left.withColumn(row, F.monotonically_increasing_id()).withColumn(item, F.explode_outer(F.array_distinct(array))).join(keys, F.col(item) == F.col(name), "left")
-        hit = known.groupBy(row).agg(F.max(F.col(name).isNotNull()).alias("__hit"), *(F.first(F.col(c)).alias(c) for c in left.columns))
-        return hit.where(F.col("__hit") if how == "semi" else ~F.col("__hit")).select(*left.columns)
+        met = _fresh("met")
+        arrays = left.select(F.array_distinct(array).alias(met)).where(F.size(met) > 0).distinct().withColumn(item, F.explode(met))
+        hits = arrays.join(keys, F.col(item) == F.col(name), "left_semi").select(met).distinct()
+        on = F.array_distinct(array) == F.col(met)
+        if how == "semi":
+            return left.join(hits, on, "left_semi")
+        lonely = left.join(hits, on, "left_anti")
+        return lonely if how == "anti" else inner().unionByName(lonely, allowMissingColumns=True)
     if how == "right":
         named = items.select(F.col(item).alias(name)).distinct()
         return inner().unionByName(right.join(named, right[key] == named[name], "left_anti"), allowMissingColumns=True)

@@ -1,8 +1,9 @@
 """Row policies compiled into one predicate of the scan.
 
 A rule is a SQL expression over the document's columns and the struct `session` (username, userId, groups). Policies of a
-class that name a user or group apply to those only and take precedence over the class's other ones. A document is readable
-if every applicable rule is true; a null rule denies. No policy on a class allows all; policies without a session are an error.
+class that name a user or group apply to those only. Where a class has such policies for the operation, its other ones don't
+count at all, and a session that none of them names is denied. A document is readable if every applicable rule is true; a null
+rule denies. No policy on a class allows all; policies without a session are an error, and so is a column named session.
 """
 
 from __future__ import annotations
@@ -57,8 +58,14 @@ def applicable(policies: list[Policy], cls: str, operation: str, session: Sessio
         return None
     if session is None:
         raise NotAuthenticated(f"{cls}: a session is needed; not authenticated")
-    aimed = [p for p in own if p.targeted() and p.matches(session)]
-    return aimed or [p for p in own if not p.targeted()]
+    aimed = [p for p in own if p.targeted()]
+    return [p for p in aimed if p.matches(session)] if aimed else own
+
+
+def _with_session(df: DataFrame, cls: str, session: Session) -> DataFrame:
+    if "session" in df.columns:
+        raise ValueError(f"{cls}: policies need the name session for themselves; rename the attribute")
+    return df.withColumn("session", session.column())
 
 
 def allowed(df: DataFrame, policies: list[Policy], cls: str, session: Session | None, operation: str = "read") -> DataFrame:
@@ -68,9 +75,9 @@ def allowed(df: DataFrame, policies: list[Policy], cls: str, session: Session |
         return df
     if not rules:
         return df.where(F.lit(False))
-    out = df.withColumn("session", session.column())
-    for p in rules:
-        out = out.where(F.coalesce(F.expr(p.rule), F.lit(False)))
+    out = _with_session(df, cls, session)
+    for p in rules:  # a filter leaves null out, and a bare rule can be pushed to the files
+        out = out.where(F.expr(p.rule))
     return out.drop("session")
 
 
@@ -79,7 +86,7 @@ def ensure_writable(df: DataFrame, policies: list[Policy], cls: str, session: Se
     rules = applicable(policies, cls, "write", session)
     if rules is None:
         return
-    checked = df.withColumn("session", session.column())
+    checked = _with_session(df, cls, session)
     fine = F.lit(bool(rules))
     for p in rules:
         fine = fine & F.coalesce(F.expr(p.rule), F.lit(False))

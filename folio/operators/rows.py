@@ -40,14 +40,19 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with __part and __row, its partitions' and their rows' numbers. Written, they keep the order of df."""
+    return df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+
+
 def sequential_ids(df: DataFrame, prefix: str, last: int, column: str = "_id") -> DataFrame:
     """df with ids prefix-(last+1), prefix-(last+2), ... Rows are counted by partition; one number a partition passes the driver.
 
-    df must give the same partitions again, as a written table does."""
-    numbered = df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    counts = sorted((r["__part"], r["count"]) for r in numbered.groupBy("__part").count().collect())
+    df has the columns of numbered(), or must give the same partitions again, as a written table does."""
+    rows = df if "__part" in df.columns else numbered(df)
+    counts = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())
     starts, at = {}, last
     for part, n in counts:
         starts[part], at = at, at + n
     offsets = df.sparkSession.createDataFrame(list(starts.items()) or [(0, last)], "p int, start long")
-    return numbered.join(F.broadcast(offsets), F.col("__part") == F.col("p")).withColumn(column, F.concat(F.lit(prefix + "-"), (F.col("start") + F.col("__row") + 1).cast("string"))).drop("__part", "__row", "p", "start")
+    return rows.join(F.broadcast(offsets), F.col("__part") == F.col("p")).withColumn(column, F.concat(F.lit(prefix + "-"), (F.col("start") + F.col("__row") + 1).cast("string"))).drop("__part", "__row", "p", "start")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import aggregate_queries, document_queries, join_queries, scan_queries  # noqa: F401  they register themselves
+from folio.plans import aggregate_queries, document_queries, join_queries, scan_queries, stack_queries  # noqa: F401  they register themselves
 from folio.plans.registry import ORACLE, QUERIES, query, run_sql
 
 FLAGSHIP = """SELECT c.c_mktsegment AS segment, COUNT(*) AS n_orders, MAX(o.o_totalprice) AS max_price

@@ -128,10 +128,18 @@ def ids(spark, d):
 
 @query("f8_policy_base", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
 def policy_base(spark, d):
-    rules = [Policy("customer", "c_acctbal > 0"), Policy("customer", "c_mktsegment = upper(session.username)"), Policy("customer", "false", group="nobody"), Policy("customer", "false", operations=("write",))]
+    rules = [Policy("customer", "c_acctbal > 0"), Policy("customer", "c_mktsegment = upper(session.username)"), Policy("customer", "false", operations=("write",))]
     return allowed(tables(spark, d, "customer"), rules, "customer", Session("building")).select("c_custkey")
 
 
+@query("f8_policy_for_others_denies", "SELECT c_mktsegment, false AS readable, true AS in_table FROM customer GROUP BY c_mktsegment")
+def policy_for_others(spark, d):
+    rules = [Policy("customer", "true"), Policy("customer", "true", group="nobody")]
+    customer = tables(spark, d, "customer")
+    read = allowed(customer, rules, "customer", Session("building")).groupBy(F.col("c_mktsegment").alias("s")).count()
+    return customer.groupBy("c_mktsegment").count().join(read, F.col("c_mktsegment") == F.col("s"), "left").select("c_mktsegment", F.col("s").isNotNull().alias("readable"), F.lit(True).alias("in_table"))
+
+
 @query("f10_policy_targeted", "SELECT c_custkey FROM customer WHERE c_nationkey = 4")
 def policy_targeted(spark, d):
     rules = [Policy("customer", "false"), Policy("~customer", "c_nationkey = 4", group="four"), Policy("customer", "false", user="other")]
@@ -192,7 +200,7 @@ def live(spark, d):
     feed = _event_stream(spark, d).select("user_id", "event_id", "value")
     running = live_view(feed, f"{path}/view", f"{path}/checkpoint", F.col("value") > 20, "user_id", "event_id")
     running.awaitTermination()
-    return current(spark, f"{path}/view", last_batch(running)).where("value > 20")
+    return current(spark, f"{path}/view", last_batch(running))
 
 
 @query("r8_windowed_counts", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

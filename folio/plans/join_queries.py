@@ -28,14 +28,21 @@ def array_left(spark, d):
     return array_join(baskets(spark, d), small_parts(spark, d), "parts", "p_partkey", "left").select("l_orderkey", "p_partkey", "p_name")
 
 
+LARGE = "(SELECT l_orderkey, list(l_partkey) AS parts FROM lineitem WHERE l_quantity >= 50 GROUP BY l_orderkey)"
+
+
+def large_baskets(spark, d):
+    """Orders with the array of the parts of their largest lines."""
+    return tables(spark, d, "lineitem").where("l_quantity >= 50").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+
+
 @query(
     "j3_array_right",
-    f"WITH b AS (SELECT * FROM {BASKET} WHERE l_orderkey <= 40) SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(parts) AS item FROM b) JOIN {SMALL} ON item = p_partkey "
+    f"WITH b AS (SELECT * FROM {LARGE}) SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(parts) AS item FROM b) JOIN {SMALL} ON item = p_partkey "
     f"UNION ALL SELECT NULL, p_partkey, p_name FROM {SMALL} WHERE p_partkey NOT IN (SELECT unnest(parts) FROM b)",
 )
 def array_right(spark, d):
-    few = baskets(spark, d).where("l_orderkey <= 40")
-    return array_join(few, small_parts(spark, d), "parts", "p_partkey", "right").select("l_orderkey", "p_partkey", "p_name")
+    return array_join(large_baskets(spark, d), small_parts(spark, d), "parts", "p_partkey", "right").select("l_orderkey", "p_partkey", "p_name")
 
 
 @query(
@@ -68,19 +75,19 @@ def array_anti_rows(spark, d):
     return array_join(baskets(spark, d), small_parts(spark, d), "parts", "p_partkey", "anti").select("l_orderkey")
 
 
-@query("j5_inner_side_array_semi", f"SELECT p_partkey FROM part WHERE p_partkey IN (SELECT unnest(parts) FROM {BASKET} WHERE l_orderkey <= 100)")
+@query("j5_inner_side_array_semi", f"SELECT p_partkey FROM part WHERE p_partkey IN (SELECT unnest(parts) FROM {LARGE})")
 def named_parts(spark, d):
-    named = baskets(spark, d).where("l_orderkey <= 100").select(F.explode("parts").alias("item"))
+    named = large_baskets(spark, d).select(F.explode("parts").alias("item"))
     part = tables(spark, d, "part")
     return part.join(named, part.p_partkey == named["item"], "left_semi").select("p_partkey")
 
 
 _sql("j7_semi_equi", "SELECT c_custkey FROM customer AS c WHERE EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-_sql("j7_anti_equi", "SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey)")
+_sql("j7_anti_equi", "SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 _sql("j8_inner_equi", "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
 _sql("j8_left_equi", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000")
 _sql("j8_right_equi", "SELECT s.s_suppkey, n.n_name FROM supplier AS s RIGHT JOIN nation AS n ON s.s_nationkey = n.n_nationkey")
-_sql("j9_null_extended", "SELECT c.c_custkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL")
+_sql("j9_null_extended", "SELECT c.c_custkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000 WHERE o.o_orderkey IS NULL")
 _sql("j11_self_join", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 
 

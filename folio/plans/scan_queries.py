@@ -43,11 +43,6 @@ def table_scan_filter(spark, d):
     return run_sql(spark, d, "SELECT o_orderkey, o_totalprice FROM orders AS o WHERE o.o_totalprice >= 200000 AND o.o_totalprice <= 250000")
 
 
-@query("s8_model_search", "SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(n_name, '(?i)an')")
-def model_search(spark, d):
-    return find(tables(spark, d, "nation"), {"n_name": {"$regex": "(?i)an"}}, ["n_nationkey", "n_name"])
-
-
 def _round_trip(spark, d, kind, name, schema):
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     files.export(tables(spark, d, name), path, kind)
@@ -81,7 +76,7 @@ _selector("sel_range", "lineitem", {"l_quantity": {"$gte": 10, "$lt": 20}}, ["l_
 _selector("sel_in_nin", "orders", {"o_orderstatus": {"$in": ["F", "O"]}, "o_custkey": {"$nin": [1, 2, 3]}}, ["o_orderkey"], "o_orderstatus IN ('F', 'O') AND o_custkey NOT IN (1, 2, 3)")
 _selector("sel_exists", "documents", {"text": {"$exists": True}}, ["doc_id"], "text IS NOT NULL")
 _selector("sel_type", "part", {"p_size": {"$type": "number"}, "p_name": {"$type": "string"}}, ["p_partkey"], "p_size IS NOT NULL AND p_name IS NOT NULL")
-_selector("sel_regex", "part", {"p_name": {"$regex": "1[0-9]$"}}, ["p_partkey", "p_name"], "regexp_matches(p_name, '1[0-9]$')")
+_selector("sel_regex", "part", {"p_name": {"$regex": "^(small|red) .*t$"}}, ["p_partkey", "p_name"], "regexp_matches(p_name, '^(small|red) .*t$')")
 _selector("sel_mod", "part", {"p_partkey": {"$mod": [7, 3]}}, ["p_partkey"], "p_partkey % 7 = 3")
 _selector("sel_and_or", "orders", {"$and": [{"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$lt": 5000}}]}, {"o_custkey": {"$gt": 100}}]}, ["o_orderkey"], "(o_orderstatus = 'F' OR o_totalprice < 5000) AND o_custkey > 100")
 _selector("sel_not_nor", "customer", {"$nor": [{"c_nationkey": 3}, {"c_acctbal": {"$lt": 0}}], "c_custkey": {"$not": {"$lt": 50}}}, ["c_custkey"], "NOT (c_nationkey = 3 OR c_acctbal < 0) AND NOT (c_custkey < 50)")
@@ -124,8 +119,8 @@ _sql("p3_star", "SELECT * FROM region")
 _sql("p4_scalar_subquery_item", "SELECT n_name, (SELECT COUNT(*) FROM customer AS c WHERE c.c_nationkey = n.n_nationkey) AS customers FROM nation AS n")
 _sql("p5_comparisons", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02 AND l_tax >= 0.05 AND l_linenumber < 4")
 _sql("p7_in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
-_sql("p8_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-_sql("p9_conjunction", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 30 AND p_retailprice > 1000 AND p_partkey > 5")
+_sql("p8_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+_sql("p9_conjunction", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 30 AND p_retailprice > 905 AND p_partkey > 5")
 _sql("p12_column_to_column", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey")
 _sql("p13_or_like_between", "SELECT p_partkey FROM part WHERE (p_name LIKE '%1%' OR p_size BETWEEN 5 AND 9) AND p_brand <> 'Brand#1'")
 _sql("p14_case_cast_null", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size_class, CAST(o_custkey AS VARCHAR(20)) AS cust, o_orderpriority IS NULL AS no_priority FROM orders")

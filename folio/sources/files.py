@@ -26,6 +26,13 @@ def class_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, of any store that Spark reads; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder in any store that Spark reads; nothing happens if it isn't there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,13 +1,16 @@
 """A stack: classes, relations, policies, triggers and their documents, queried with SQL or selectors.
 
 Every read goes through scan(), where policies and decryption are part of the plan, so that subqueries and joins can't pass
-them by. SQL is Spark's, over views named as the classes; "double quotes" make identifiers.
+them by. SQL is Spark's, over views named as the classes; "double quotes" make identifiers. A text that is no query, or that
+names anything but classes and its own common table expressions (files, other tables and views), is refused.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import time
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +25,20 @@ from folio.operators.hooks import Jobs, Trigger, apply_triggers
 from folio.operators.patches import Patch, pending
 from folio.operators.policies import NotAuthenticated, Policy, Session, allowed, ensure_writable
 from folio.operators.relations import Domain
-from folio.operators.rows import sequential_ids
+from folio.operators.rows import numbered, sequential_ids
 from folio.operators.validation import ensure_valid, missing_targets, propagate
 from folio.sources import files
-from folio.sources.documents import DocumentLog
+from folio.sources.documents import DocumentLog, merge
 from folio.sources.schema import Attribute, ClassModel, col
+from folio.sources.store import settled
 
 EDGE_MODEL = ClassModel("~edges")
+#: Columns that the log sets itself.
+STAMPS = ("_rev", "~class", "active", "~createTimestamp", "~updateTimestamp")
+#: Functions that run code outside of SQL.
+FOREIGN = re.compile(r"(?i)\b(?:try_)?(?:reflect|java_method)\(")
 USER = ClassModel("User", (Attribute("username", mandatory=True, primary_key=True), Attribute("salt"), Attribute("sealed"), Attribute("groups", is_array=True)))
+PATCHES = "version string, target string, changelog string, applied long"
 EDGE_STRUCT = T.StructType([T.StructField(c.strip("`"), T.StringType()) for c in relations.EDGE])
 
 
@@ -48,6 +57,9 @@ class Stack:
     version: str | None = None
     generation: dict[str, int] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.jobs.keep(self.spark, f"{self.path}/~jobs")
+
     # the catalog: classes, relations, policies and version; triggers and jobs are code and registered anew
     def save(self) -> None:
         """Appends the catalog to the stack's folder; open() reads the last."""
@@ -120,6 +132,8 @@ class Stack:
 
     # classes and relations
     def create_class(self, model: ClassModel, default_policy: bool = False) -> ClassModel:
+        if any(a.name == "session" for a in model.attributes):
+            raise ValueError(f"{model.name}: policies need the name session for themselves")
         self.classes[model.name] = model
         if default_policy:
             self.policies.append(Policy(model.name, "session.username IS NOT NULL"))
@@ -149,7 +163,16 @@ class Stack:
         clear = crypto.decrypt(docs, old, self.key)
         self.classes[new.name] = new
         moved = propagate(clear, old, new)
-        self._store(new, moved.drop("_rev", "~class", "active", "~createTimestamp", "~updateTimestamp"), fresh_folder=True)
+        self._store(new, moved.drop(*STAMPS), fresh_folder=True)
+
+    def compact(self, name: str) -> None:
+        """Writes the newest revisions of a class's documents to a fresh folder, where reading needs no look at older ones; their
+        history stays in the old folder. The catalog is saved."""
+        model = self.model(name)
+        old = self._log(model)
+        self.generation[model.name] = self.generation.get(model.name, 0) + 1
+        old.write_compact(self._log(model))
+        self.save()
 
     # storage
     def _struct(self, model: ClassModel) -> T.StructType:
@@ -182,19 +205,45 @@ class Stack:
     def get(self, name: str, *ids: str) -> DataFrame:
         return self.scan(name).where(F.col("_id").isin(list(ids)))
 
-    def sql(self, text: str, **args) -> DataFrame:
-        """A query over views named as the classes; args fill its named parameters. An empty text gives an empty result."""
-        if not text.strip().rstrip(";").strip():
+    def sql(self, text: str, *params, **args) -> DataFrame:
+        """A query over views named as the classes; params fill its ? and args its named parameters. An empty text gives an empty
+        result."""
+        text = text.strip().rstrip(";").strip()
+        if not text:
             return self.spark.createDataFrame([], T.StructType([]))
-        for name in self.classes:
-            if name.lower() in text.lower():
-                self.scan(name).createOrReplaceTempView(f"`{name}`" if not name.isidentifier() else name)
-        before = self.spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
-        self.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+        if params and args:
+            raise ValueError("parameters are either ? or named")
+        settings = {"spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQLOnFiles": "false"}
+        before = {k: self.spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
-            return self.spark.sql(text.strip().rstrip(";"), args=args or None)
+            for name in self._named_classes(text):
+                self.scan(name).createOrReplaceTempView(f"`{name}`")
+            return self.spark.sql(text, args=list(params) or args or None)
         finally:
-            self.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+
+    def _named_classes(self, text: str) -> list[str]:
+        """The classes that a query names; anything else that it reads or does is an error."""
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        shown = plan.treeString()
+        first = re.match(r"[^\w]*(\w+)", shown)[1]
+        if self.spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command").isInstance(plan) or "Statement" in first or "InsertInto" in shown:
+            raise PermissionError("only queries are allowed")
+        if FOREIGN.search(shown):
+            raise PermissionError("this function is not allowed")
+        own = {n.strip().lower() for names in re.findall(r"CTE \[(.*?)\]", shown) for n in names.split(",")}
+        by_name = {m.name.lower(): m.name for m in self.classes.values()}
+        found = []
+        for relation in re.findall(r"UnresolvedRelation \[(.*?)\]", shown):
+            if relation.lower() in own:
+                continue
+            if relation.lower() not in by_name:
+                raise PermissionError(f"Table not found: {relation}")
+            found.append(by_name[relation.lower()])
+        return sorted(set(found))
 
     def edges(self, domain: str | None = None) -> DataFrame:
         log = DocumentLog(self.spark, self.path, EDGE_MODEL, T.StructType([*EDGE_MODEL.struct().fields, *EDGE_STRUCT.fields]))
@@ -214,6 +263,16 @@ class Stack:
 
         Documents without _id get the next ids. Those of known _id are merged over what is stored."""
         model = self.model(name)
+        # what the caller hands over is read once; encrypted attributes are sealed before they are written anywhere
+        docs = docs if "_id" in docs.columns else numbered(docs)
+        kept, place = settled(crypto.encrypt(docs, model, self.key) if self.encrypts else docs)
+        try:
+            return self._write(model, crypto.decrypt(kept, model, self.key) if self.encrypts else kept, validate)
+        finally:
+            files.remove(self.spark, place)
+
+    def _write(self, model: ClassModel, docs: DataFrame, validate: bool) -> int:
+        name = model.name
         if "_id" not in docs.columns:
             known = self._log(model).history().select(F.max(F.try_to_number(F.substring_index("_id", "-", -1), F.lit("999999999999999")))).first()[0]
             docs = sequential_ids(docs, model.name, int(known or 0))
@@ -226,13 +285,14 @@ class Stack:
             for a in model.attributes:
                 if a.type == "foreign_key" and a.name in docs.columns and not a.is_array and missing_targets(docs, a.name, self.scan(a.target)).limit(1).count():
                     raise ValueError(f"{name}.{a.name}: no such {a.target}")
-        ensure_writable(docs, self.policies, name, self.session)
+        stored = crypto.decrypt(self._log(model).documents(inactive=True), model, self.key)
+        ensure_writable(merge(stored, docs), self.policies, name, self.session)  # rules see whole documents
         rev = self._store(model, docs)
         after = [t for t in self.triggers if t.target == name and t.order == "after"]
         if after:
             written = self._log(model).documents().join(docs.select("_id"), "_id", "left_semi")
             changed = apply_triggers(crypto.decrypt(written, model, self.key), after, name, "after", self.jobs)
-            rev = self._store(model, changed.drop("_rev", "~class", "active", "~createTimestamp", "~updateTimestamp"))
+            rev = self._store(model, changed.drop(*STAMPS))
         for a in model.attributes:
             if a.type == "reference" and a.name in docs.columns:
                 self.relate(a.domain, relations.reference_edges(self.domains[a.domain], docs, name, a.name).select("sourceId", "targetId"))
@@ -252,7 +312,12 @@ class Stack:
         return self.write(name, new) if new.limit(1).count() else self._log(model).revision()
 
     def delete(self, name: str, ids: DataFrame) -> int:
-        return self._log(self.model(name)).delete(ids)
+        """Marks documents inactive; if the policies refuse the write of any of them, none is."""
+        model = self.model(name)
+        log = self._log(model)
+        gone = crypto.decrypt(log.documents(), model, self.key).join(ids.select("_id").distinct(), "_id", "left_semi")
+        ensure_writable(gone, self.policies, name, self.session)
+        return log.delete(ids)
 
     def relate(self, domain: str, pairs: DataFrame) -> None:
         """Adds edges (sourceId, targetId) after checking documents and cardinality; known edges are left alone."""
@@ -275,8 +340,13 @@ class Stack:
         return DocumentLog(self.spark, self.path, EDGE_MODEL, T.StructType([*EDGE_MODEL.struct().fields, *EDGE_STRUCT.fields]))
 
     # patches
+    def patches(self) -> DataFrame:
+        """The patches that were applied."""
+        there = "~patches" in files.folders(self.spark, self.path)
+        return self.spark.read.schema(PATCHES).parquet(f"{self.path}/~patches") if there else self.spark.createDataFrame([], PATCHES)
+
     def apply(self, patches: list[Patch]) -> list[str]:
-        """Applies what is above the stack's version, and returns those versions."""
+        """Applies what is above the stack's version, and returns those versions. Patch and version are stored after each."""
         done = []
         for patch in pending(patches, self.version):
             for model in patch.classes:
@@ -289,5 +359,8 @@ class Stack:
                 fields = [f for f in model.struct() if any(f.name in r for r in rows)]
                 self.write(name, self.spark.createDataFrame([{f.name: r.get(f.name) for f in fields} for r in rows], T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])))
             self.version = patch.version
+            row = (patch.version, patch.target, patch.changelog, int(time.time() * 1000))
+            self.spark.createDataFrame([row], PATCHES).write.mode("append").parquet(f"{self.path}/~patches")
+            self.save()
             done.append(patch.version)
         return done

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.selectors import find
 from folio.functions.values import derived_key
-from folio.operators.hooks import Job, Jobs, JobSkipped, Trigger
+from folio.operators.hooks import Job, JobRun, Jobs, JobSkipped, Trigger
 from folio.operators.patches import Patch, pending
 from folio.operators.policies import NotAuthenticated, Policy, Session
 from folio.operators.relations import Domain
@@ -13,7 +13,7 @@ from folio.operators.validation import ValidationError
 from folio.sources.schema import Attribute, ClassModel, entity_diagram
 from folio.sources.stack import Stack
 from folio.sources.documents import DocumentLog
-from folio.streaming.feeds import change_feed, current, into_log, last_batch, live_view, replicate
+from folio.streaming.feeds import MODELS, change_feed, current, into_log, last_batch, live_models, live_view, model_changes, replicate
 
 
 @pytest.fixture
@@ -101,6 +101,73 @@ def test_policies(spark, stack):
     assert stack.scan("Note").count() == 3
 
 
+def test_targeted_policies_shut_out_all_others(spark, stack):
+    stack.create_class(ClassModel("Note", (Attribute("title"), Attribute("owner"))))
+    stack.write("Note", frame(spark, [("a", "ann"), ("b", "bob")], "title string, owner string"))
+    stack.policies += [Policy("Note", "true"), Policy("Note", "owner = session.username", group="extra")]
+    stack.session = Session("ann")
+    assert stack.scan("Note").count() == 0
+    with pytest.raises(PermissionError):
+        stack.write("Note", frame(spark, [("c", "ann")], "title string, owner string"))
+    stack.session = Session("ann", groups=("extra",))
+    assert [r.title for r in stack.scan("Note").collect()] == ["a"]
+    with pytest.raises(PermissionError):
+        stack.delete("Note", frame(spark, [("Note-1",), ("Note-2",)], "_id string"))
+    stack.delete("Note", frame(spark, [("Note-1",)], "_id string"))
+    stack.policies.clear()
+    assert [r.title for r in stack.scan("Note").collect()] == ["b"]
+    with pytest.raises(ValueError, match="session"):
+        stack.create_class(ClassModel("Bad", (Attribute("session"),)))
+
+
+def test_sql_reads_classes_and_nothing_else(spark, stack, tmp_path):
+    stack.create_class(ClassModel("Note", (Attribute("title"), Attribute("year", "integer"))))
+    stack.create_class(ClassModel("My Notes", (Attribute("title"),)))
+    stack.write("Note", frame(spark, [("a", 1), ("b", 7)], "title string, year long"))
+    stack.write("My Notes", frame(spark, [("c",)], "title string"))
+    spark.range(1).createOrReplaceTempView("others")
+    for text in (
+        f"SELECT * FROM parquet.`{stack.path}/Note`", f"SELECT (SELECT max(title) FROM parquet.`{stack.path}/Note`) AS x", "SELECT * FROM others", "SELECT * FROM Note WHERE title IN (SELECT id FROM others)", "DROP VIEW Note", "CREATE TABLE t AS SELECT * FROM Note",
+        "INSERT INTO Note SELECT * FROM Note", "SET spark.sql.runSQLOnFiles=true", f"WITH n AS (SELECT * FROM csv.`{tmp_path}`) SELECT * FROM n", "SELECT reflect('java.lang.System', 'getProperty', 'user.name')", "SELECT Title FROM Note JOIN default.Note", "ADD JAR 'x'", "SELECT * FROM Nothing",
+    ):
+        with pytest.raises(PermissionError):
+            stack.sql(text)
+    assert [r.title for r in stack.sql("WITH n AS (SELECT title FROM Note WHERE year > ?) SELECT title FROM n", 5).collect()] == ["b"]
+    assert stack.sql("SELECT title FROM note UNION ALL SELECT title FROM \"My Notes\"").count() == 3
+    assert stack.sql("SELECT title FROM Note WHERE year = :y", y=1).first().title == "a"
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_reads_push_filters_and_shuffle_nothing(spark, stack):
+    stack.create_class(ClassModel("Note", (Attribute("title"), Attribute("year", "integer"), Attribute("owner"))))
+    stack.write("Note", frame(spark, [(f"t{i}", i, "ann") for i in range(50)], "title string, year long, owner string"))
+    stack.policies.append(Policy("Note", "owner = session.username"))
+    stack.session = Session("ann")
+    read = lambda: stack.sql("SELECT title FROM Note WHERE year > 45")
+    plan = plan_of(read())
+    assert "GreaterThan(year,45)" in plan and "EqualTo(owner,ann)" in plan and "Exchange" not in plan and "ReadSchema: struct<active:boolean,title:string,year:bigint,owner:string>" in plan
+    stack.write("Note", frame(spark, [("Note-50", "changed")], "_id string, title string"))
+    plan = plan_of(read())
+    assert "GreaterThan(year,45)" in plan and "LeftAnti" in plan and "BroadcastExchange" in plan
+    assert sorted(r.title for r in read().collect()) == ["changed", "t46", "t47", "t48"]
+    stack.compact("Note")
+    assert "Exchange" not in plan_of(read()) and sorted(r.title for r in read().collect()) == ["changed", "t46", "t47", "t48"]
+    assert stack.write("Note", frame(spark, [("Note-1", 99)], "_id string, year long")) == 3 and read().count() == 5
+
+
+def test_keys_are_in_no_plan(spark, tmp_path):
+    key = bytes(range(65, 97))
+    stack = Stack(spark, str(tmp_path / "s"), key=key, encrypts=True)
+    stack.create_class(ClassModel("Item", (Attribute("secret", encrypted=True),)))
+    stack.write("Item", frame(spark, [("x",)], "secret string"))
+    plan = plan_of(stack.scan("Item")) + stack.scan("Item")._jdf.queryExecution().toString()
+    assert key.hex().upper() not in plan.upper() and key.decode() not in plan and stack.scan("Item").first().secret == "x"
+
+
 def test_encryption(spark, tmp_path):
     key = derived_key("secret", b"salt", 1000)
     stack = Stack(spark, str(tmp_path / "s"), key=key, encrypts=True)
@@ -110,7 +177,7 @@ def test_encryption(spark, tmp_path):
     stack.write("Locked", frame(spark, [("x",)], "secret string"))
     assert sorted((r.title, r.secret, r.n) for r in stack.scan("Item").collect()) == [("a", "s1", 7), ("b", None, None)]
     assert stack.find("Item", {"secret": "s1"}).count() == 1
-    raw = "".join(str(r) for r in spark.read.parquet(f"{tmp_path}/s/Item").collect())
+    raw = "".join(str(r) for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/s/Item").collect())
     assert "s1" not in raw and "AES-GCM" in raw
     for wrong, rows, locked in ((None, 2, 0), (bytes(32), 2, 1)):
         stack.key = wrong
@@ -144,6 +211,40 @@ def test_triggers_and_jobs(spark, stack):
     assert [r.state for r in jobs.runs] == ["SUCCESS", "FAILURE", "SKIPPED", "SKIPPED"]
 
 
+def test_runs_and_metadata_outlive_the_process(spark, tmp_path):
+    def count(params, metadata):
+        metadata["n"] = metadata.get("n", 0) + 1
+
+    for n in (1, 2):
+        stack = Stack(spark, str(tmp_path / "s"))  # as another process would
+        job = stack.jobs.register(Job("count", count, singleton=True))
+        stack.jobs.run("count")
+        assert job.metadata == {"n": n}
+    assert [r.state for r in stack.jobs.stored().collect()] == ["SUCCESS"] * 2
+    other = Stack(spark, str(tmp_path / "s"))
+    other.jobs.register(Job("count", count, singleton=True))
+    run = JobRun("r", "count", "PENDING", 0.0)
+    stack.jobs._note(run, "RUNNING")
+    with pytest.raises(JobSkipped, match="running"):
+        other.jobs.run("count")
+
+
+def test_saved_models_are_fed(spark, tmp_path):
+    stack, seen = Stack(spark, str(tmp_path / "s")), []
+    stack.create_class(ClassModel("One", (Attribute("a"),)))
+    stack.save()
+    watch = lambda: live_models(spark, stack.path, str(tmp_path / "c"), lambda models, changes: seen.append((sorted(r.name for r in models.collect()), sorted((r.name, r.change) for r in changes.collect())))).awaitTermination()
+    watch()
+    stack.create_class(ClassModel("Two"))
+    stack.create_domain(Domain("to", "N:N", "One", "Two"))
+    stack.save()
+    watch()
+    assert seen[0] == (["One"], [("One", "added")]) and seen[1][0] == ["One", "Two", "to"]
+    before = frame(spark, [("class", "A", "1"), ("class", "B", "1")], MODELS)
+    changes = model_changes(before, frame(spark, [("class", "B", "2"), ("class", "C", "1")], MODELS))
+    assert sorted((r.name, r.change) for r in changes.collect()) == [("A", "removed"), ("B", "changed"), ("C", "added")]
+
+
 def test_patches_and_schema_change(spark, stack):
     one = ClassModel("Todo", (Attribute("title"),))
     two = one.with_attribute(Attribute("done", "boolean", default=False)).with_attribute(Attribute("rank", "integer"))
@@ -151,6 +252,8 @@ def test_patches_and_schema_change(spark, stack):
     assert [p.version for p in pending(patches, None)] == ["1.2.0", "1.10.0"] and [p.version for p in pending(patches, "1.9.9")] == ["1.10.0"]
     assert stack.apply(patches) == ["1.2.0", "1.10.0"] and stack.apply(patches) == []
     assert [(r.title, r.done, r.rank) for r in stack.scan("Todo").collect()] == [("x", False, None)]
+    again = Stack.open(spark, stack.path)
+    assert again.version == "1.10.0" and again.apply(patches) == [] and [r.version for r in again.patches().orderBy("applied").collect()] == ["1.2.0", "1.10.0"]
     stack.change_class(two.without_attribute("title"))
     assert "title" not in stack.scan("Todo").columns
     assert [m.name for m in stack.models(search="tod")] == ["Todo"]
@@ -160,10 +263,10 @@ def test_feed_and_live_view(spark, stack, tmp_path):
     stack.create_class(ClassModel("Doc", (Attribute("v", "integer"),)))
     stack.write("Doc", frame(spark, [(1,), (2,)], "v long"))
     feed = lambda: change_feed(spark, f"{stack.path}/Doc", stack.model("Doc").struct(), "Doc")
-    view = lambda: live_view(feed(), str(tmp_path / "view"), str(tmp_path / "checkpoint"), F.col("active") & (F.col("v") > 1))
+    view = lambda: live_view(feed(), str(tmp_path / "view"), str(tmp_path / "checkpoint"), F.col("v") > 1)
     first = view()
     first.awaitTermination()
-    shown = lambda q: sorted((r._id, r.v) for r in current(spark, str(tmp_path / "view"), last_batch(q)).where("active and v > 1").collect())
+    shown = lambda q: sorted((r._id, r.v) for r in current(spark, str(tmp_path / "view"), last_batch(q)).collect())
     assert shown(first) == [("Doc-2", 2)]
     stack.write("Doc", frame(spark, [("Doc-1", 10)], "_id string, v long"))
     stack.delete("Doc", frame(spark, [("Doc-2",)], "_id string"))
