@@ -56,10 +56,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: the session's checkpoint folder, or a temporary one where none is set (tests)."""
+    """The folder all executors see: the session's checkpoint folder. Where none is set, a temporary one in local mode (tests), and
+    an error on a cluster."""
     at = spark.sparkContext.getCheckpointDir()
     if not at:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folio-"))
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folio-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
 
@@ -125,6 +129,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return nodes.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))

@@ -17,6 +17,33 @@ def test_forest_tells_secrets_from_numbers_and_prose(spark):
     assert found.probability.between(0, 1).all()
 
 
+def brute_candidates(text):
+    """Values by plain loops over words: runs with a digit, values assigned within a word, keys of issuers."""
+    found = set()
+    for w in re.split(r"[\x20\x09-\x0d]+", text):
+        for run in re.findall(r"[A-Za-z0-9_+/-]+", w):
+            if len(run) >= 16 and any(c in "0123456789" for c in run):
+                found.add((w, run))
+        found |= {(w, v) for v in re.findall(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}", w)}
+        for name, value in re.findall(r"(?i)(pass|pwd|token|secret|key|auth|credential)[a-z_]*=([^\s\"'=:&;,]{6,})", w):
+            found.add((w, value))
+    return found
+
+
+def test_candidates_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null")
+    got = {(r.word, r.value) for r in secrets.candidates(docs).collect()}
+    want = set().union(*(brute_candidates(r.text) for r in docs.collect()))
+    assert want and want <= got
+    assert all(v in w for w, v in got) and len(got - want) < 0.2 * len(got)
+
+
+def test_labels_are_met_in_texts_that_were_not_learned_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    figures = secrets.held_out_figures(secrets.written(secrets.rule_labels(secrets.described(secrets.candidates(docs), secrets.dictionary(docs)))))
+    assert figures["positives"] > 0 and figures["precision"] > 0.9 and figures["recall"] > 0.9
+
+
 def test_own_labels_and_one_class(spark):
     rows = [(i, f'x token = "{i:03d}ab9c8d7e6f5a4b3c2d1e{i}" y 45391488034364{i:02d}') for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
