@@ -186,15 +186,23 @@ class Model:
     n_segments: int
     head: tuple[np.ndarray, np.ndarray]  # hashes, ascending, and exact counts
     whole_head: bool  # no word is missing from head
-    groups: list[list[int]]  # segments that are broadcast together
+    groups: list[dict[int, int]]  # segments that are broadcast together, ascending, and their sizes
     table: DataFrame | None = None  # segment, data, and gram, count of words
 
-    def filter(self, group: list[int]) -> LogFilter:
-        rows = self.table.where(F.col("segment").between(group[0], group[-1]) & F.col("data").isNotNull()).select("segment", "data").collect() if group else []
-        return LogFilter.of(self.n_segments, {r["segment"]: bytes(r["data"]) for r in rows})
+    def filter(self, group: dict[int, int]) -> LogFilter:
+        """The group's segments, fetched a file at a time, so that the driver holds them once."""
+        start, bits, at = np.full(self.n_segments, -1, np.int64), np.ones(self.n_segments, np.int64), 0
+        for segment, size in group.items():
+            start[segment], bits[segment], at = at, 8 * size, at + size
+        data = np.empty(at, np.uint8)
+        if group:
+            rows = self.table.where(F.col("segment").between(min(group), max(group)) & F.col("data").isNotNull()).select("segment", "data")
+            for r in rows.toLocalIterator(prefetchPartitions=True):
+                data[start[r["segment"]] : start[r["segment"]] + len(r["data"])] = np.frombuffer(r["data"], np.uint8)
+        return LogFilter(start, bits, data)
 
 
-def fit(docs: DataFrame, base: float = 1.5, most_bytes: int = 128 << 20, head: int = 1 << 19, task_bytes: int = 32 << 20) -> Model:
+def fit(docs: DataFrame, base: float = 1.5, most_bytes: int = 192 << 20, head: int = 1 << 19, task_bytes: int = 32 << 20) -> Model:
     """A model of the rows of docs (text): at most most_bytes of filter and 16 * head bytes of table are broadcast at once; a
     task counts the n-grams of about task_bytes of text."""
     spark = docs.sparkSession
@@ -222,13 +230,13 @@ def fit(docs: DataFrame, base: float = 1.5, most_bytes: int = 128 << 20, head: i
     made = written(dealt.mapInArrow(build, "segment int, data binary, gram long, count long"), "ngrams")
 
     sizes = made.where("data is not null").select("segment", F.length("data").alias("n")).orderBy("segment").collect()  # one number a segment
-    groups: list[list[int]] = []
+    groups: list[dict[int, int]] = []
     room = 0
     for r in sizes:
         if not groups or room < r["n"]:
-            groups.append([])
+            groups.append({})
             room = most_bytes
-        groups[-1].append(r["segment"])
+        groups[-1][r["segment"]] = r["n"]
         room -= r["n"]
     words = made.where("data is null").select("gram", "count")
     by_level = words.groupBy(F.floor(F.log2("count")).alias("level")).agg(F.count("*").alias("grams"), F.sum("count").alias("total")).collect()  # at most 64 rows
@@ -300,7 +308,7 @@ def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
     light = Model(model.words, model.distinct, model.levels, model.n_segments, model.head, model.whole_head, model.groups)
     shared = spark.sparkContext.broadcast((light, part))
     below = math.log10(model.words + model.distinct + 1)
-    end_group = next((g for g in model.groups if g[0] <= int((END >> U(1)) % U(model.n_segments)) <= g[-1]), [])
+    end_group = next((g for g in model.groups if int((END >> U(1)) % U(model.n_segments)) in g), {})
     ends = int((part if one_pass else model.filter(end_group)).levels(np.array([END]))[0]) if model.groups else 0
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
