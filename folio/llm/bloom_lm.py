@@ -218,10 +218,16 @@ def fit(docs: DataFrame, base: float = 1.5, most_bytes: int = 192 << 20, head: i
         grams, counts = _merged(parts)
         del parts
         for segment, data in built(grams, levels.of(counts), n_segments).items():
-            yield pa.record_batch([pa.array([segment], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["segment", "data", "gram", "count"])
+            yield pa.record_batch(
+                [pa.array([segment], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())],
+                names=["segment", "data", "gram", "count"],
+            )
         word = grams & U(1) == 0
         n = int(word.sum())
-        yield pa.record_batch([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(grams[word].view(np.int64)), pa.array(counts[word])], names=["segment", "data", "gram", "count"])
+        yield pa.record_batch(
+            [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(grams[word].view(np.int64)), pa.array(counts[word])],
+            names=["segment", "data", "gram", "count"],
+        )
 
     rows = ngram_counts(docs)
     segment = F.pmod(F.shiftrightunsigned("gram", 1), F.lit(n_segments))
@@ -293,7 +299,10 @@ def _levels_by_groups(state: DataFrame, model: Model) -> DataFrame:
                     words, pairs = look_up(shared.value, np.frombuffer(tokens, np.uint64), np.frombuffer(at, np.int64), old)
                     words_out.append(words.tobytes())
                     pairs_out.append(pairs.tobytes())
-                yield pa.record_batch([batch.column("row"), batch.column("tokens"), batch.column("at"), pa.array(words_out, pa.binary()), pa.array(pairs_out, pa.binary())], names=["row", "tokens", "at", "words", "pairs"])
+                yield pa.record_batch(
+                    [batch.column("row"), batch.column("tokens"), batch.column("at"), pa.array(words_out, pa.binary()), pa.array(pairs_out, pa.binary())],
+                    names=["row", "tokens", "at", "words", "pairs"],
+                )
 
         state = written(state.mapInArrow(run, STATE), "levels")
     return state
@@ -344,7 +353,9 @@ def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
         tail, none = np.zeros(len(first), np.int64), np.zeros(n, np.int64)
         both = lambda a, b: pa.array(np.concatenate([a, b]))
         columns = {
-            "row": both(rows, rows[o[first]]), "gram": both(K.mix(rows.astype(np.uint64)).view(np.int64), t[first].view(np.int64)), "is_word": both(none.astype(np.int32), tail.astype(np.int32) + 1), "times": both(none, times),
+            "row": both(rows, rows[o[first]]), "gram": both(
+                K.mix(rows.astype(np.uint64)).view(np.int64), t[first].view(np.int64),
+            ), "is_word": both(none.astype(np.int32), tail.astype(np.int32) + 1), "times": both(none, times),
             "doc_id": pa.array([*doc_ids, *[None] * len(first)], pa.int64()), "n_tokens": both(np.diff(at), tail), "n_known": both(n_known, tail), "base": both(base, tail * 1.0), "score": both(score, tail * 1.0),
         }
         return pa.record_batch(list(columns.values()), names=list(columns))
@@ -364,7 +375,17 @@ def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, doc_ids, tokens, at in tokenised(batches):
                 zero = bytes(len(tokens))
-                yield pa.record_batch([pa.array(rows[:1]), pa.array([tokens.tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary()), pa.array([zero], pa.binary()), pa.array([zero], pa.binary()), pa.array([doc_ids], pa.list_(pa.int64()))], names=["row", "tokens", "at", "words", "pairs", "doc_ids"])
+                yield pa.record_batch(
+                    [
+                        pa.array(rows[:1]),
+                        pa.array([tokens.tobytes()], pa.binary()),
+                        pa.array([at.tobytes()], pa.binary()),
+                        pa.array([zero], pa.binary()),
+                        pa.array([zero], pa.binary()),
+                        pa.array([doc_ids], pa.list_(pa.int64())),
+                    ],
+                    names=["row", "tokens", "at", "words", "pairs", "doc_ids"],
+                )
 
         stream = written(texts.mapInArrow(split, STATE + ", doc_ids array<long>"), "tokens")
 
@@ -381,13 +402,23 @@ def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
                     yield pa.record_batch([pa.array(r["row"] + np.arange(len(found))), pa.array(found)], names=["row", "score"])
 
         levels = _levels_by_groups(stream.drop("doc_ids"), model).mapInArrow(scored, "row long, score double")
-        rest = {"gram": F.col("row"), "is_word": F.lit(0), "times": F.lit(0).cast("long"), "doc_id": F.lit(None).cast("long"), "n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base": F.lit(0.0)}
+        rest = {
+            "gram": F.col("row"),
+            "is_word": F.lit(0),
+            "times": F.lit(0).cast("long"),
+            "doc_id": F.lit(None).cast("long"),
+            "n_tokens": F.lit(0).cast("long"),
+            "n_known": F.lit(0).cast("long"),
+            "base": F.lit(0.0),
+        }
         rows = stream.mapInArrow(based, kind).unionByName(levels.withColumns(rest))
     counts = model.table.where("data is null").select(F.col("gram").alias("g"), F.lit(1).alias("w"), "count")
     joined = rows.join(counts, (F.col("gram") == F.col("g")) & (F.col("is_word") == F.col("w")), "left")
     added = F.when(F.col("count").isNotNull(), F.col("times") * F.log10(F.col("count") + F.lit(1.0))).otherwise(0.0)
     summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"), F.sum(F.col("base") + added).alias("base_score"), F.sum("score").alias("score")
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (
+            F.sum("n_known") + F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))
+        ).alias("n_known"), F.sum(F.col("base") + added).alias("base_score"), F.sum("score").alias("score")
     )
     return summed.drop("row")
 
@@ -398,4 +429,6 @@ def op8_bloom_lm(spark, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     model = fit(docs.where(fold != 2))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words).cast("long").alias("train_tokens"), "base_score", "score",
+    )

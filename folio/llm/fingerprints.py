@@ -49,12 +49,17 @@ class Fingerprints:
 
     def digests(self) -> list[str]:
         """A digest of the sums, and the lanes; equal for equal fingerprints."""
-        return [base64.b64encode(blake2b(s.astype("<u8").tobytes(), digest_size=32).digest() + v.astype("<u4").tobytes()).decode() for s, v in zip(self.strong, self.lanes, strict=True)]
+        return [base64.b64encode(
+            blake2b(s.astype("<u8").tobytes(), digest_size=32).digest() + v.astype("<u4").tobytes()
+        ).decode() for s, v in zip(self.strong, self.lanes, strict=True)]
 
     @staticmethod
     def parse(strings: list[str]) -> Fingerprints:
         raw = [base64.b64decode(x) for x in strings]
-        return Fingerprints(np.array([np.frombuffer(x, "<u8", STRONG) for x in raw]).reshape(-1, STRONG), np.array([np.frombuffer(x, "<u4", LANES, STRONG * 8) for x in raw]).reshape(-1, LANES))
+        return Fingerprints(
+            np.array([np.frombuffer(x, "<u8", STRONG) for x in raw]).reshape(-1, STRONG),
+            np.array([np.frombuffer(x, "<u4", LANES, STRONG * 8) for x in raw]).reshape(-1, LANES),
+        )
 
 
 def paragraph_hashes(paragraphs: list[bytes]) -> np.ndarray:
@@ -123,7 +128,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         return rows.select(F.lit(0).alias("block"), F.lit(0).alias("copy"), "doc_id", "text")
     before = spark.createDataFrame([(r["first"], firsts[i - 1]["block"]) for i, r in enumerate(firsts)], "first long, goes_to int")
     marked = with_block(rows, bounds).join(F.broadcast(before), order == F.col("first"), "left")
-    targets = F.when(F.col("goes_to").isNull(), F.array(F.struct(F.col("block"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("copy")), F.struct(F.col("goes_to").alias("block"), F.lit(1).alias("copy"))))
+    targets = F.when(F.col("goes_to").isNull(), F.array(F.struct(F.col("block"), F.lit(0).alias("copy")))).otherwise(
+        F.array(F.struct(F.col("block"), F.lit(0).alias("copy")), F.struct(F.col("goes_to").alias("block"), F.lit(1).alias("copy")))
+    )
     dealt = marked.select(F.explode(targets).alias("t"), "doc_id", "text").select("t.block", "t.copy", "doc_id", "text")
     return dealt.repartition(parallelism(spark), "block").sortWithinPartitions("block", "copy", F.col("doc_id").asc_nulls_first(), "text")
 
@@ -138,7 +145,15 @@ def op2_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
         last = fingerprint([following[-1].encode()])
         after = Fingerprints(np.vstack([own.strong[1:], last.strong]), np.vstack([own.lanes[1:], last.lanes]))
         return pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in edited]), pa.array(own.digests()), pa.array(changed.digests()), pa.array(likeness(own, changed)), pa.array(likeness(own, after))],
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([sha256(t.encode()).hexdigest() for t in edited]),
+                pa.array(own.digests()),
+                pa.array(changed.digests()),
+                pa.array(likeness(own, changed)),
+                pa.array(likeness(own, after)),
+            ],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
@@ -161,4 +176,6 @@ def op2_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
                 yield judged(ids[:-1], texts[:-1], texts[1:])
                 ids, texts = ids[-1:], texts[-1:]
 
-    return with_next(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(table(spark, sf_dir, "documents")).mapInArrow(
+        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )

@@ -97,10 +97,18 @@ def encoded(docs: DataFrame, vocabulary: str | None, end_id: int, wide: bool) ->
                 sizes.append([b - a for a, b in zip(cuts, cuts[1:], strict=False)])
                 payloads.append(parts)
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "keys", "sizes", "payloads"]
+                [
+                    batch.column("doc_id"),
+                    pa.array(totals, pa.int64()),
+                    pa.array(keys, pa.list_(pa.binary())),
+                    pa.array(sizes, pa.list_(pa.int32())),
+                    pa.array(payloads, pa.list_(pa.binary())),
+                ], names=["doc_id", "n_tokens", "keys", "sizes", "payloads"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, keys array<binary>, sizes array<int>, payloads array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n_tokens long, keys array<binary>, sizes array<int>, payloads array<binary>",
+    )
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -134,7 +142,15 @@ def _block_roots(recipes: DataFrame) -> DataFrame:
             root = b""
             for _, node in reversed(now["path"]):  # open subtrees, smallest first
                 root = digest(node + root) if root else node
-            return pa.RecordBatch.from_pydict({"block": pa.array([now["block"]], pa.int32()), "first_start": pa.array([now["start"]], pa.int64()), "n_docs": pa.array([now["docs"]], pa.int64()), "n_tokens": pa.array([now["tokens"]], pa.int64()), "root": pa.array([root], pa.binary())})
+            return pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([now["block"]], pa.int32()),
+                    "first_start": pa.array([now["start"]], pa.int64()),
+                    "n_docs": pa.array([now["docs"]], pa.int64()),
+                    "n_tokens": pa.array([now["tokens"]], pa.int64()),
+                    "root": pa.array([root], pa.binary()),
+                }
+            )
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -159,13 +175,17 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     """Encodes all rows of docs (doc_id, text) into a store at path, which must be a folder that all executors see."""
     spark = docs.sparkSession
     rows = written(encoded(docs, vocabulary, end_id, wide), "encoded", compression="zstd")
-    chunks = rows.select(F.explode(F.arrays_zip("keys", "sizes", "payloads")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
+    chunks = rows.select(F.explode(F.arrays_zip("keys", "sizes", "payloads")).alias("c")).select(
+        F.col("c.keys").alias("key"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"),
+    )
     chunks.dropDuplicates(["key"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     small_batches(spark, 4000)  # no texts from here on
     light = with_block(rows.select("doc_id", "n_tokens", "keys"), id_bounds(rows.select("doc_id")))
     totals = light.groupBy("block").agg(F.sum("n_tokens").alias("tokens"))  # one row a block, of a bounded number of blocks
-    before = totals.select("block", F.coalesce(F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = totals.select(
+        "block", F.coalesce(F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "keys")
     placed = light.withColumn("inside", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
     recipes = placed.join(F.broadcast(before), "block").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "keys", "block")
@@ -265,7 +285,12 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("keys").alias("place", "key"))
     chunks = _checked_chunks(spark.read.parquet(f"{path}/chunks"), wide)
-    joined = parts.join(chunks, "key", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("place", "key", "n", "crc"))).alias("parts"))
+    joined = parts.join(chunks, "key", "left").groupBy("start").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_tokens").alias("n_tokens"),
+        F.first("root").alias("root"),
+        F.array_sort(F.collect_list(F.struct("place", "key", "n", "crc"))).alias("parts"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +312,10 @@ def read_digests(spark: SparkSession, path: str, wide: bool = False) -> DataFram
             after = np.repeat(sums[at[1:]], np.diff(at)) - sums[1:]
             shifted = crc_after(crc, 4 * after)
             whole = np.bitwise_xor.reduceat(shifted, at[:-1]) if len(shifted) else np.empty(0, np.uint32)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(whole.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(whole.astype(np.int64))],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
     return joined.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -297,11 +325,15 @@ def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     check_manifests(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("keys").alias("place", "key"))
     small_batches(spark)
-    joined = recipes.join(spark.read.parquet(f"{path}/chunks"), "key").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("parts"))
+    joined = recipes.join(spark.read.parquet(f"{path}/chunks"), "key").groupBy("start").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("place", "payload"))).alias("parts"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["payload"] for x in parts), "<u4" if wide else "<u2").astype(np.int64) for parts in batch.column("parts").to_pylist()]
+            ids = [np.frombuffer(
+                b"".join(x["payload"] for x in parts), "<u4" if wide else "<u2",
+            ).astype(np.int64) for parts in batch.column("parts").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
     return joined.select("doc_id", "start", "parts").mapInArrow(run, "doc_id long, start long, ids array<long>")
@@ -312,7 +344,9 @@ def verify_manifests(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark, 4000)
     fresh = _block_roots(spark.read.parquet(f"{path}/recipes")).select(F.col("block").alias("b"), F.col("root").alias("r"), F.col("n_tokens").alias("t"))
     kept = spark.read.parquet(f"{path}/manifests")
-    return kept.join(fresh, kept.block == fresh.b, "full").select(F.coalesce("block", "b").alias("block"), (F.col("root").eqNullSafe(F.col("r")) & F.col("n_tokens").eqNullSafe(F.col("t"))).alias("ok"))
+    return kept.join(fresh, kept.block == fresh.b, "full").select(
+        F.coalesce("block", "b").alias("block"), (F.col("root").eqNullSafe(F.col("r")) & F.col("n_tokens").eqNullSafe(F.col("t"))).alias("ok"),
+    )
 
 
 def op6_content_store(spark, sf_dir: str) -> DataFrame:

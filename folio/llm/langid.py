@@ -93,7 +93,17 @@ def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], bits: int, known_bits: int, dims: int = 16, epochs: int = 4, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
+def train(
+    rows: list[tuple[np.ndarray, np.ndarray, int]],
+    languages: list[str],
+    bits: int,
+    known_bits: int,
+    dims: int = 16,
+    epochs: int = 4,
+    rate: float = 4.0,
+    batch: int = 32,
+    seed: int = 7,
+) -> Model:
     """rows: (distinct features of known_bits bits, counts, class)."""
     known = np.zeros(1 << known_bits, bool)
     for x in rows:
@@ -164,7 +174,13 @@ def fit_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
-def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], learned: list[tuple[np.ndarray, np.ndarray, int]], reject_share: float, most_least: float = 0.4) -> Model:
+def calibrate(
+    model: Model,
+    rows: list[tuple[np.ndarray, np.ndarray, int]],
+    learned: list[tuple[np.ndarray, np.ndarray, int]],
+    reject_share: float,
+    most_least: float = 0.4,
+) -> Model:
     """Fits temperature, the score and the share of known features from rows that were held back; learned: the training rows."""
     if not rows:
         return model
@@ -210,12 +226,26 @@ def sample_features(rows: DataFrame, bits: int, most: int) -> DataFrame:
                     distinct, many = distinct[pick], many[pick]
                 ids.append(distinct.astype(np.int32).tobytes())
                 counts.append(many.astype(np.int32).tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), batch.column("part"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "lang", "part", "ids", "counts"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("lang"), batch.column("part"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+                names=["doc_id", "lang", "part", "ids", "counts"],
+            )
 
     return rows.select("doc_id", "text", "lang", "part").mapInArrow(run, "doc_id long, lang string, part int, ids binary, counts binary")
 
 
-def fit(labelled: DataFrame, per_language: int = 600, most_rows: int = 8192, most_features: int = 8192, calibration: float = 0.3, bits: int = 16, known_bits: int = 20, most_languages: int = 256, reject_share: float = 0.001, **how) -> Model | None:
+def fit(
+    labelled: DataFrame,
+    per_language: int = 600,
+    most_rows: int = 8192,
+    most_features: int = 8192,
+    calibration: float = 0.3,
+    bits: int = 16,
+    known_bits: int = 20,
+    most_languages: int = 256,
+    reject_share: float = 0.001,
+    **how,
+) -> Model | None:
     """A model from (doc_id, text, lang): at most about per_language rows of each language and most_rows in all reach the driver,
     as at most most_features distinct features each."""
     small_batches(labelled.sparkSession)
@@ -269,7 +299,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         names = np.array([*(shared.value.languages if shared.value else []), "und"], object)
         for batch in batches:
             best, score, rejected = judge(shared.value, batch.column("text"))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rejected)],
+                names=["doc_id", "lang_pred", "score", "rejected"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 

@@ -60,7 +60,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 10, tole
     Warns if, after all rounds, a margin's shares are off by more than tolerance in sum."""
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for dimension, target in targets.items():
-        now = now.join(target.select(F.col("value").alias("__v"), F.col("share").alias(f"__goal_{dimension}")), F.col(dimension).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn(f"__goal_{dimension}", F.coalesce(f"__goal_{dimension}", F.lit(0.0)))
+        now = now.join(
+            target.select(F.col("value").alias("__v"), F.col("share").alias(f"__goal_{dimension}")), F.col(dimension).eqNullSafe(F.col("__v")), "left",
+        ).drop("__v").withColumn(f"__goal_{dimension}", F.coalesce(f"__goal_{dimension}", F.lit(0.0)))
     now = written(now, "raked")
     for _ in range(rounds):
         for dimension in targets:
@@ -107,7 +109,9 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def weighed(docs: DataFrame, share: float = 0.5, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, DataFrame] | None = None, rounds: int = 10) -> DataFrame:
+def weighed(
+    docs: DataFrame, share: float = 0.5, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, DataFrame] | None = None, rounds: int = 10,
+) -> DataFrame:
     """docs (with n_tokens and the dimensions' columns) with multiplier, probability, draw and sampled."""
     cells = written(docs.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")), "cells")
     goals = targets or {d: written(flattened(cells, d, POWERS.get(d, 0.5)), "targets") for d in dimensions}
@@ -128,13 +132,25 @@ def with_tokens(docs: DataFrame) -> DataFrame:
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     """documents -> doc_id, source, lang, topic, n_tokens, multiplier, probability, draw, sampled."""
     docs = written(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")), "tokens")
-    return weighed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("multiplier", 9).alias("multiplier"), F.round("probability", 6).alias("probability"), F.round("draw", 9).alias("draw"), "sampled")
+    return weighed(docs).select(
+        "doc_id",
+        "source",
+        "lang",
+        "topic",
+        "n_tokens",
+        F.round("multiplier", 9).alias("multiplier"),
+        F.round("probability", 6).alias("probability"),
+        F.round("draw", 9).alias("draw"),
+        "sampled",
+    )
 
 
 def mixed(docs: DataFrame, share: float = 0.7) -> DataFrame:
     """docs of which documents are drawn by their calibrated probabilities; all columns stay as they are."""
     own = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    kept = weighed(written(with_tokens(own), "tokens"), share).where("sampled").select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p")).distinct()
+    kept = weighed(written(with_tokens(own), "tokens"), share).where("sampled").select(
+        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("probability").alias("__p"),
+    ).distinct()
     marked = docs.withColumn("__words", n_words(docs.text)).withColumn("__form", text_form(docs.text, F.col("__words")))
     same = marked["source"].cast("string").eqNullSafe(F.col("__s")) & marked["lang"].cast("string").eqNullSafe(F.col("__l")) & (F.col("__form") == F.col("__t"))
     return marked.join(kept, same).where(draw(marked["doc_id"]) < F.col("__p")).select(*(marked[c] for c in docs.columns))
@@ -148,12 +164,16 @@ def mix_sql(rounds: int = 10, share: float = 0.5) -> str:
         "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS weight FROM t GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        parts.append(f"g_{d} AS MATERIALIZED (SELECT {d} AS v, pow(sum(tokens), {POWERS[d]}) / sum(pow(sum(tokens), {POWERS[d]})) OVER () AS share FROM w0 GROUP BY {d} HAVING sum(tokens) > 0)")
+        parts.append(
+            f"g_{d} AS MATERIALIZED (SELECT {d} AS v, pow(sum(tokens), {POWERS[d]}) / sum(pow(sum(tokens), {POWERS[d]})) OVER () AS share FROM w0 GROUP BY {d} HAVING sum(tokens) > 0)"
+        )
     k = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
             parts.append(f"s{k} AS MATERIALIZED (SELECT {d} AS v, sum(weight) AS total FROM w{k} GROUP BY {d})")
-            parts.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN total > 0 THEN weight * (coalesce(share, 0) / total) ELSE 0 END AS weight FROM w{k} JOIN s{k} ON w{k}.{d} IS NOT DISTINCT FROM s{k}.v LEFT JOIN g_{d} g ON s{k}.v IS NOT DISTINCT FROM g.v)")
+            parts.append(
+                f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN total > 0 THEN weight * (coalesce(share, 0) / total) ELSE 0 END AS weight FROM w{k} JOIN s{k} ON w{k}.{d} IS NOT DISTINCT FROM s{k}.v LEFT JOIN g_{d} g ON s{k}.v IS NOT DISTINCT FROM g.v)"
+            )
             k += 1
     parts += [
         f"c AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS multiplier FROM w{k})",

@@ -139,10 +139,18 @@ def signatures(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5
                 keys += [found[i] if many[i] else found[i][:0] for i in range(hi - lo)]
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            columns = [batch.column("doc_id"), batch.column("raw"), pa.array(same, pa.binary()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]), pa.int64()), pa.ListArray.from_arrays(sizes, pa.array(flat))]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("raw"),
+                pa.array(same, pa.binary()),
+                pa.array(np.concatenate([*sets, np.empty(0, np.int64)]), pa.int64()),
+                pa.ListArray.from_arrays(sizes, pa.array(flat)),
+            ]
             yield pa.record_batch(columns, names=["doc_id", "raw", "same", "bytes", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "raw").mapInArrow(run, "doc_id long, raw binary, same binary, bytes long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "raw").mapInArrow(
+        run, "doc_id long, raw binary, same binary, bytes long, bands array<long>",
+    )
 
 
 def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
@@ -158,7 +166,9 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
                 same += equal
                 items_out += [items[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)]
                 counts_out += [weight[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(hi - lo)]
-            yield pa.record_batch([pa.array(same, pa.binary()), pa.array(items_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["same", "items", "counts"])
+            yield pa.record_batch(
+                [pa.array(same, pa.binary()), pa.array(items_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["same", "items", "counts"],
+            )
 
     return texts.select("text").mapInArrow(run, "same binary, items binary, counts binary")
 
@@ -170,8 +180,12 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float, tile_rows: int
     it with all its members at once."""
     sized = written(pairs, "pairs")
     tiles = sized.groupBy(F.col("hub").alias("h")).agg(F.ceil(F.greatest(F.count("*") / tile_rows, F.sum("bytes") / tile_bytes)).cast("int").alias("wide"))
-    dealt = sized.join(tiles, F.col("hub") == F.col("h")).select("hub", "id", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int").alias("tile"), F.lit(1).alias("side"))
-    hubs = tiles.select(F.col("h").alias("hub"), F.col("h").alias("id"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("tile"), F.lit(0).alias("side"))
+    dealt = sized.join(tiles, F.col("hub") == F.col("h")).select(
+        "hub", "id", F.pmod(F.xxhash64("id"), F.col("wide")).cast("int").alias("tile"), F.lit(1).alias("side"),
+    )
+    hubs = tiles.select(
+        F.col("h").alias("hub"), F.col("h").alias("id"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("tile"), F.lit(0).alias("side"),
+    )
     rows = dealt.unionByName(hubs).join(sets, "id").select("hub", "tile", "side", "id", F.col("side").cast("long").alias("root"), "items", "counts")
     return rows.groupBy("hub", "tile").applyInArrow(lambda tile: _tile_links(tile, threshold, each=True), "a long, b long").distinct()
 
@@ -190,7 +204,12 @@ def _pairs(rows: DataFrame, *others: str) -> DataFrame:
 def _split_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, id, bytes, root, size) of the members (key, id, bytes) of buckets that hold more than one component."""
     rooted = written(members.join(roots, members.id == roots.node, "left").select("key", "id", "bytes", F.coalesce("root", "id").alias("root")), "rooted")
-    sizes = written(rooted.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("k", "size"), "sizes")
+    sizes = written(
+        rooted.groupBy(F.col("key").alias("k")).agg(
+            F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+        ).where("r0 < r1").select("k", "size"),
+        "sizes",
+    )
     return rooted.join(sizes, rooted.key == sizes.k).select("key", "id", "bytes", "root", "size")
 
 
@@ -249,9 +268,16 @@ def _exact_links(buckets: DataFrame, sets: DataFrame, threshold: float, tile_row
     sized = buckets.select("key", "id", "bytes", "root")
     parts = sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     deal = lambda n, size: F.ceil(F.greatest(n / tile_rows, size / tile_bytes)).cast("int")
-    of_bucket = parts.groupBy("key").agg(F.max_by(F.struct("root", "n", "bytes"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    of_bucket = parts.groupBy("key").agg(
+        F.max_by(F.struct("root", "n", "bytes"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"),
+    )
     dealt = written(
-        of_bucket.select(F.col("key").alias("k"), F.col("main.root").alias("main"), deal(F.col("n"), F.col("bytes")).alias("wide"), deal(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("high")).where("high > 0"), "dealt"
+        of_bucket.select(
+            F.col("key").alias("k"),
+            F.col("main.root").alias("main"),
+            deal(F.col("n"), F.col("bytes")).alias("wide"),
+            deal(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("high"),
+        ).where("high > 0"), "dealt"
     )
     rows = sized.join(dealt, sized.key == dealt.k)
     part = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
@@ -267,13 +293,28 @@ def _merge(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     if roots is None:
         return written(components(links), "roots")
     at = lambda x: roots.select(F.col("node").alias(f"n{x}"), F.col("root").alias(f"r{x}"))
-    up = links.join(at("a"), F.col("a") == F.col("na"), "left").join(at("b"), F.col("b") == F.col("nb"), "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = links.join(at("a"), F.col("a") == F.col("na"), "left").join(at("b"), F.col("b") == F.col("nb"), "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"),
+    )
     over = written(components(up), "over")
-    moved = roots.join(over.select(F.col("node").alias("r"), F.col("root").alias("top")), F.col("root") == F.col("r"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    moved = roots.join(
+        over.select(F.col("node").alias("r"), F.col("root").alias("top")), F.col("root") == F.col("r"), "left",
+    ).select("node", F.coalesce("top", "root").alias("root"))
     return written(moved.unionByName(over.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int = 5, shingle: int = 5, small: int = 32, rounds: int = 2, draws: int = 2, tile_rows: int = 256, by_row: bool = False) -> DataFrame:
+def classes(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    bands: int = 24,
+    rows: int = 5,
+    shingle: int = 5,
+    small: int = 32,
+    rounds: int = 2,
+    draws: int = 2,
+    tile_rows: int = 256,
+    by_row: bool = False,
+) -> DataFrame:
     """(doc_id, raw, class_no, class_id) for every row of docs: class_no is the class's own number, class_id the least doc_id in it.
 
     raw is the text's MD5 if by_row, else null. small, rounds and draws say what the cheap rounds do, not what is found: the exact
@@ -282,7 +323,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
     sig = written(signatures(docs.select("doc_id", "text", raw.alias("raw")), bands, rows, shingle), "signatures")
     firsts = sig.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     firsts = written(firsts.select(F.col("same").alias("s"), "rep", F.monotonically_increasing_id().alias("node")), "firsts")
-    of_text = written(sig.join(firsts, sig.same == firsts.s, "left").select("doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep", "bytes", "bands"), "copies")
+    of_text = written(
+        sig.join(firsts, sig.same == firsts.s, "left").select(
+            "doc_id", "raw", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep", "bytes", "bands",
+        ),
+        "copies",
+    )
     members = of_text.where("node is not null and doc_id = rep").select(F.explode("bands").alias("key"), F.col("node").alias("id"), "bytes").distinct()
     shared = written(_buckets(members), "buckets")
     wanted = written(firsts.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "wanted")
@@ -303,7 +349,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 24, rows: int
     left = written(_split_buckets(shared.select("key", "id", "bytes"), roots).where(F.col("size") > small), "left")
     if left.limit(1).count():
         roots = _merge(roots, written(_exact_links(left, sets, threshold, tile_rows), "links"))
-    rooted = written(firsts.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "rep", F.coalesce("root", "node").alias("class_no")), "rooted")
+    rooted = written(
+        firsts.join(
+            roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left",
+        ).select("node", "rep", F.coalesce("root", "node").alias("class_no")),
+        "rooted",
+    )
     least = rooted.groupBy(F.col("class_no").alias("c")).agg(F.min("rep").alias("class_id"))
     numbered = rooted.join(least, F.col("class_no") == F.col("c")).select(F.col("node").alias("n"), "class_no", "class_id")
     return of_text.join(numbered, of_text.node == F.col("n"), "left").select("doc_id", "raw", "class_no", "class_id")
@@ -328,7 +379,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     kept = docs.join(gone, (docs.doc_id.cast("long") == F.col("__id")) & (own_raw == F.col("__raw")), "left_anti")
     if judged.where("stays").limit(1).count():  # rows that occur more than once
         again = judged.where("stays").select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"))
-        marked = kept.join(again, (kept.doc_id.cast("long") == F.col("__id")) & (F.coalesce(F.unhex(F.md5(kept.text.cast("binary"))), F.lit(b"")) == F.col("__raw")), "left")
+        marked = kept.join(
+            again, (kept.doc_id.cast("long") == F.col("__id")) & (F.coalesce(F.unhex(F.md5(kept.text.cast("binary"))), F.lit(b"")) == F.col("__raw")), "left",
+        )
         once = marked.where("__id is not null").dropDuplicates(["__id", "__raw"])
         kept = marked.where("__id is null").unionByName(once).select(*docs.columns)
     return kept

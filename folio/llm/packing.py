@@ -101,7 +101,16 @@ def cut_places(ends: list[np.ndarray], lengths: list[int], window: int, sentence
     return every.astype(np.int64), penalties
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = 2048, sentence_penalty: float = 4.0, token_penalty: float = 64.0, sequence_penalty: float = 48.0, block: int = 1 << 19) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    end_id: int = 1,
+    window: int = 2048,
+    sentence_penalty: float = 4.0,
+    token_penalty: float = 64.0,
+    sequence_penalty: float = 48.0,
+    block: int = 1 << 19,
+) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text), as SCHEMA. vocabulary: a path that every worker can open."""
     small_batches(docs.sparkSession)
 
@@ -137,7 +146,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
                     keep.append((doc_id, ids[4 * done :], before + done, total, inner[inner > done] - done))
                 at += length
             held, waiting = keep, sum(len(x[1]) // 4 for x in keep)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=[x.split()[0] for x in SCHEMA.split(", ")],
+            )
 
         for batch in batches:
             flat, at = with_end(*coder.encode_batch(batch.column(1)), end_id)

@@ -58,14 +58,29 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source", F.array_remove(F.split("text", SPLIT), "").alias("words"), F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines")
     )
     words = F.col("words")
-    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    two = one.select("doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"), windows.alias("windows"))
+    windows = F.when(
+        F.size(words) >= 3,
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
+    )
+    two = one.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size("lines").cast("long").alias("n_lines"),
+        windows.alias("windows"),
+    )
     again = F.size("windows") > F.size(F.array_distinct("windows"))
     three = two.withColumn("sorted", F.when(again, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
     near = lambda k, d: F.coalesce(F.get("sorted", k)["h"] == F.get("sorted", k + d)["h"], F.lit(False))
     found = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda k: F.when(k > 0, near(k, -1)).otherwise(False) | near(k, 1))
     four = three.withColumn("places", F.when(F.col("sorted").isNotNull(), F.sort_array(F.transform(found, lambda k: F.get("sorted", k)["i"])))).drop("sorted")
-    covered = F.aggregate(F.sequence(F.lit(0), F.size("places") - 1), F.lit(0), lambda acc, k: acc + F.least(F.lit(3), F.coalesce(F.get("places", k + 1) - F.get("places", k), F.lit(3))))
+    covered = F.aggregate(F.sequence(F.lit(0), F.size("places") - 1), F.lit(0), lambda acc, k: acc + F.least(
+        F.lit(3), F.coalesce(F.get("places", k + 1) - F.get("places", k), F.lit(3)),
+    ))
     return four.withColumn("n_repeat_words", F.when(F.col("places").isNotNull(), covered).otherwise(0).cast("long")).drop("places")
 
 
@@ -83,7 +98,10 @@ def with_group(rows: DataFrame, least: int) -> DataFrame:
     named = rows.withColumns({"fine": fine, "coarse": coarse})
     sizes = named.groupBy("fine", "coarse").agg(F.count(F.when(F.col("used"), 1)).alias("n"))
     pools = sizes.where(F.col("n") < least).groupBy(F.col("coarse").alias("c")).agg(F.sum("n").alias("pool"))
-    choice = sizes.join(pools, F.col("coarse") == F.col("c"), "left").select(F.col("fine").alias("f"), F.when(F.col("n") >= least, F.col("fine")).when(F.col("pool") >= least, F.col("coarse")).otherwise(F.lit("rest")).alias("group"))
+    choice = sizes.join(pools, F.col("coarse") == F.col("c"), "left").select(
+        F.col("fine").alias("f"),
+        F.when(F.col("n") >= least, F.col("fine")).when(F.col("pool") >= least, F.col("coarse")).otherwise(F.lit("rest")).alias("group"),
+    )
     return named.join(choice, F.col("fine") == F.col("f")).drop("fine", "coarse", "f")
 
 
@@ -102,8 +120,14 @@ def with_factor(moments: DataFrame) -> DataFrame:
 def covariances(rows: DataFrame, *keys: str, where: Column | None = None) -> DataFrame:
     """keys, m0.. and c00.. of the rows (x0..), the squares of RESOLUTION added to the diagonal."""
     of = lambda c: F.avg(c if where is None else F.when(where, c))
-    sums = rows.groupBy(*keys).agg(*(of(F.col(x)).alias(f"m{i}") for i, x in enumerate(X)), *(of(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in LOWER))
-    return sums.select(*keys, *(f"m{i}" for i in range(D)), *((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (RESOLUTION[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in LOWER))
+    sums = rows.groupBy(*keys).agg(
+        *(of(F.col(x)).alias(f"m{i}") for i, x in enumerate(X)), *(of(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in LOWER),
+    )
+    return sums.select(
+        *keys,
+        *(f"m{i}" for i in range(D)),
+        *((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (RESOLUTION[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in LOWER),
+    )
 
 
 def salted(rows: DataFrame, per_group: DataFrame, how: str = "inner") -> DataFrame:
@@ -132,13 +156,22 @@ def median(c: Column | str) -> Column:
 def starts(used: DataFrame) -> DataFrame:
     """Four factors of each group of the rows (group, salt, x0..) to begin with."""
     centre = used.groupBy("group").agg(*(median(x).alias(f"m{i}") for i, x in enumerate(X)))
-    spread = salted(used, centre).groupBy("group").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(X)))
-    spread = written(spread.select("group", *(f"m{i}" for i in range(D)), *(F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + RESOLUTION[i] ** 2).alias(f"s{i}") for i in range(D))), "spread")
+    spread = salted(used, centre).groupBy("group").agg(
+        *(F.first(f"m{i}").alias(f"m{i}") for i in range(D)), *(median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"a{i}") for i, x in enumerate(X)),
+    )
+    spread = written(
+        spread.select(
+            "group", *(f"m{i}" for i in range(D)), *(F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + RESOLUTION[i] ** 2).alias(f"s{i}") for i in range(D)),
+        ),
+        "spread",
+    )
     z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(X)]
     norm = sum((c * c for c in z[1:]), z[0] * z[0])
     placed = salted(used, spread).select("group", "salt", *X, *(c.alias(f"z{i}") for i, c in enumerate(z)), norm.alias("norm"))
     tanh, sign = [F.tanh(f"z{i}") for i in range(D)], [F.col(f"z{i}") / F.sqrt(F.greatest("norm", F.lit(1e-12))) for i in range(D)]
-    both = placed.groupBy(F.col("group").alias("g")).agg(median("norm").alias("half"), *(F.avg(v[i] * v[j]).alias(f"{n}{i}{j}") for n, v in (("t", tanh), ("u", sign)) for i, j in LOWER))
+    both = placed.groupBy(F.col("group").alias("g")).agg(
+        median("norm").alias("half"), *(F.avg(v[i] * v[j]).alias(f"{n}{i}{j}") for n, v in (("t", tanh), ("u", sign)) for i, j in LOWER),
+    )
     known = spread.join(both, F.col("group") == F.col("g")).drop("g")
     of = lambda name, c: known.select("group", F.lit(name).alias("start"), *(f"m{i}" for i in range(D)), *((c(i, j) * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in LOWER))
     share = lambda n: lambda i, j: F.lit(1.0) if i == j else F.coalesce(F.col(f"{n}{i}{j}") / F.nullif(F.sqrt(F.col(f"{n}{i}{i}") * F.col(f"{n}{j}{j}")), F.lit(0.0)), F.lit(0.0))
@@ -171,12 +204,16 @@ def robust_factors(rows: DataFrame, coverage: float = 0.75, trial: int = 4, step
     for _ in range(steps):
         now = concentrated(used, factors, coverage)
         before = factors.select(F.col("group").alias("g"), F.col("start").alias("s"), F.col("logdet").alias("before"))
-        change = now.join(before, (F.col("group") == F.col("g")) & (F.col("start") == F.col("s"))).agg(F.max(F.abs(F.exp(F.col("logdet") - F.col("before")) - 1))).first()[0]
+        change = now.join(
+            before, (F.col("group") == F.col("g")) & (F.col("start") == F.col("s")),
+        ).agg(F.max(F.abs(F.exp(F.col("logdet") - F.col("before")) - 1))).first()[0]
         factors = now
         if change is None or change <= tolerance:
             break
     factors = least_determinants(factors, 1).drop("start")
-    scale = with_distance(used, factors.drop("logdet")).groupBy(F.col("group").alias("g")).agg(F.greatest(F.lit(1.0), median("d2") / chi_square(0.5)).alias("scale"))
+    scale = with_distance(used, factors.drop("logdet")).groupBy(F.col("group").alias("g")).agg(
+        F.greatest(F.lit(1.0), median("d2") / chi_square(0.5)).alias("scale")
+    )
     return written(factors.join(scale, F.col("group") == F.col("g")).drop("g"), "estimates")
 
 
@@ -184,12 +221,29 @@ def judged(docs: DataFrame, least: int = 100, confidence: float = 0.9999, **how)
     """doc_id, lang, source, the statistics, base_failed, d2 and kept of every row of docs (doc_id, text, lang, source)."""
     stats = text_statistics(docs)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rows = written(with_group(written(with_vector(stats.withColumn("base_failed", failed)).withColumn("used", ~F.col("base_failed")), "statistics"), least).withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")), "grouped")
+    rows = written(
+        with_group(
+            written(with_vector(stats.withColumn("base_failed", failed)).withColumn("used", ~F.col("base_failed")), "statistics"), least,
+        ).withColumn("salt", F.pmod(F.xxhash64("doc_id", *X), F.lit(SALTS)).cast("int")),
+        "grouped",
+    )
     counts = rows.where("used").groupBy(F.col("group").alias("gc")).agg(F.count("*").alias("n_used"))
     factors = robust_factors(rows, **how).join(counts, F.col("group") == F.col("gc")).where(F.col("n_used") >= least).drop("gc", "n_used")
     far = with_distance(rows, factors.drop("logdet"), "left").withColumn("d2", F.col("d2") / F.col("scale"))
     outlier = F.coalesce(F.col("d2") > chi_square(confidence), F.lit(False))
-    return far.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", (~F.col("base_failed") & ~outlier).alias("kept"))
+    return far.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "d2",
+        (~F.col("base_failed") & ~outlier).alias("kept"),
+    )
 
 
 def op4_robust_outliers(spark, sf_dir: str) -> DataFrame:

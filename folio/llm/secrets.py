@@ -58,17 +58,25 @@ def candidates(docs: DataFrame) -> DataFrame:
     def is_candidate(w: Column, k: Column) -> Column:
         last, earlier = F.get("words", k - 1), F.get("words", k - 2)
         run = (F.length(w) >= 16) & F.regexp_like(w, F.lit("[0-9]")) & w.rlike(RUN)
-        named_before = (F.length(w) >= 6) & F.coalesce(last.rlike(r"[=:][\"']?$"), F.lit(False)) & (F.regexp_like(last, alone) | F.coalesce(F.regexp_like(earlier, alone), F.lit(False)))
-        return run | ((F.length(w) >= 10) & w.rlike(ASSIGNED)) | ((F.length(w) >= 15) & w.rlike(ISSUED_INSIDE)) | named_before | (w.rlike("^[=:]") & F.coalesce(F.regexp_like(last, alone), F.lit(False)))
+        named_before = (F.length(w) >= 6) & F.coalesce(last.rlike(r"[=:][\"']?$"), F.lit(False)) & (
+            F.regexp_like(last, alone) | F.coalesce(F.regexp_like(earlier, alone), F.lit(False))
+        )
+        return run | ((F.length(w) >= 10) & w.rlike(ASSIGNED)) | ((F.length(w) >= 15) & w.rlike(ISSUED_INSIDE)) | named_before | (
+            w.rlike("^[=:]") & F.coalesce(F.regexp_like(last, alone), F.lit(False))
+        )
 
     places = F.filter(F.transform("words", lambda w, k: F.when(is_candidate(w, k), k)), lambda k: k.isNotNull())
     found = words.where("words is not null").select("doc_id", "text_key", "words", F.explode(places).alias("place"))
     before = F.concat_ws(" ", F.when(i >= 2, at(2)), F.when(i >= 1, at(1)))
     found = found.select("doc_id", "text_key", "place", at(0).alias("word"), before.alias("before"), F.when(i >= 1, at(1)).alias("last"))
     some = lambda test, pattern: F.when(test, F.regexp_extract_all("word", F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
-    assigned = F.array_union(F.array_union(some(F.lit(True), ASSIGNED), some(F.col("before").rlike(NAME_BEFORE), FIRST_VALUE)), some(F.col("last").rlike(NAME_ALONE), SIGN_VALUE))
+    assigned = F.array_union(
+        F.array_union(some(F.lit(True), ASSIGNED), some(F.col("before").rlike(NAME_BEFORE), FIRST_VALUE)), some(F.col("last").rlike(NAME_ALONE), SIGN_VALUE),
+    )
     runs = F.filter(F.regexp_extract_all("word", F.lit(RUN), 1), lambda r: r.rlike("[0-9]"))
-    valued = found.withColumn("assigned", assigned).withColumn("value", F.explode(F.array_union(F.array_union("assigned", runs), some(F.lit(True), ISSUED_INSIDE))))
+    valued = found.withColumn("assigned", assigned).withColumn(
+        "value", F.explode(F.array_union(F.array_union("assigned", runs), some(F.lit(True), ISSUED_INSIDE))),
+    )
     return valued.select("doc_id", "text_key", "place", "word", "before", "value")
 
 
@@ -84,7 +92,9 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     turns = F.regexp_count(v, F.lit("[A-Za-z](?=[0-9])")) + F.regexp_count(v, F.lit("[0-9](?=[A-Za-z])")) + F.regexp_count(v, F.lit("[a-z](?=[A-Z])"))
     vowel_turns = F.regexp_count(v, F.lit("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"))
-    pieces = found.select("value").distinct().select("value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"(\p{L}{4,})"), 1))).alias("run"))
+    pieces = found.select("value").distinct().select(
+        "value", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"(\p{L}{4,})"), 1))).alias("run"),
+    )
     covered = pieces.join(known, "run").groupBy(F.col("value").alias("v")).agg(F.sum(F.length("run")).alias("covered"))
     with_cover = found.join(covered, found.value == covered.v, "left")
     around = F.lower(F.concat_ws(" ", "before", F.substring_index("word", "=", 1)))
@@ -115,7 +125,9 @@ def fit(labelled: DataFrame, sample_rows: int = 20000, trees: int = 20, depth: i
     enough = F.when(F.col("label") == 1, F.lit(sample_rows / 2 / counts[1.0])).otherwise(F.lit(sample_rows / 2 / counts[0.0]))
     sample = labelled.where("label in (0.0, 1.0)").where(draw < enough).select("label", *FEATURES)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="f_all")
-    forest = RandomForestClassifier(featuresCol="f_all", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, maxMemoryInMB=64).fit(assembler.transform(sample))
+    forest = RandomForestClassifier(
+        featuresCol="f_all", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, maxMemoryInMB=64,
+    ).fit(assembler.transform(sample))
     return PipelineModel([assembler, forest])
 
 
@@ -125,7 +137,9 @@ def held_out_figures(labelled: DataFrame, share: float = 0.2, threshold: float =
     model = fit(labelled.where(~out), **how)
     if model is None:
         return {}
-    judged = model.transform(labelled.where(out & F.col("label").isNotNull())).select("label", (vector_to_array("probability")[1] >= threshold).cast("double").alias("found"))
+    judged = model.transform(labelled.where(out & F.col("label").isNotNull())).select(
+        "label", (vector_to_array("probability")[1] >= threshold).cast("double").alias("found"),
+    )
     n = {(r["label"], r["found"]): r["count"] for r in judged.groupBy("label", "found").count().collect()}
     hit, wrong, lost = n.get((1.0, 1.0), 0), n.get((0.0, 1.0), 0), n.get((1.0, 0.0), 0)
     return {"precision": hit / max(1, hit + wrong), "recall": hit / max(1, hit + lost), "positives": hit + lost, "negatives": wrong + n.get((0.0, 0.0), 0)}
@@ -147,7 +161,9 @@ def findings(docs: DataFrame, labels=rule_labels, threshold: float = 0.5, **how)
 def redacted(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
     """docs with every secret in text replaced by mark, and n_chars, if it has that, set to the new length where text changed."""
     secrets = findings(docs, **how).where("is_secret")
-    of_text = secrets.groupBy(F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__values"))
+    of_text = secrets.groupBy(F.col("text_key").alias("__key")).agg(
+        F.array_sort(F.collect_set("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__values")
+    )
     joined = docs.join(of_text, F.md5(docs.text.cast("binary")) == F.col("__key"), "left")
     clean = F.aggregate("__values", F.col("text"), lambda text, value: F.replace(text, value, F.lit(mark)))
     text = F.when(F.col("__values").isNotNull(), clean).otherwise(F.col("text"))

@@ -50,7 +50,12 @@ def suffixes(host: Column) -> Column:
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, rules) of the hosts that rules fit by name: the rules, best first. A host's list is as long as the rules that name it."""
     above = hosts.where("host != ''").select("host", F.explode(suffixes(F.col("host"))).alias("above"))
-    fit = above.join(rules, F.col("above") == F.col("rule_host")).select("host", F.struct((-F.length(F.concat("rule_host", "rule_path"))).alias("order"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "verdict").alias("r"))
+    fit = above.join(rules, F.col("above") == F.col("rule_host")).select(
+        "host",
+        F.struct(
+            (-F.length(F.concat("rule_host", "rule_path"))).alias("order"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "verdict",
+        ).alias("r"),
+    )
     return fit.groupBy("host").agg(F.sort_array(F.collect_set("r")).alias("rules"))
 
 
@@ -65,7 +70,11 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     known = links.select(F.col("dst").alias("host")).union(hosts.select("host")).where("host != ''").distinct()
     chain = known.select(F.explode(suffixes(F.col("host"))).alias("host")).where("host like '%.%'").distinct()
     up = chain.select(F.col("host").alias("low"), F.regexp_replace("host", r"^[^.]*\.", "").alias("top")).where("top like '%.%'")
-    ladder = up.select(F.explode(F.array(F.struct(F.col("low").alias("src"), F.col("top").alias("dst")), F.struct(F.col("top").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
+    ladder = up.select(
+        F.explode(
+            F.array(F.struct(F.col("low").alias("src"), F.col("top").alias("dst")), F.struct(F.col("top").alias("src"), F.col("low").alias("dst")))
+        ).alias("e")
+    ).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
     return links.union(ladder).where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -73,17 +82,32 @@ def spread(edges: DataFrame, seeds: DataFrame, steps: int = 100, damping: float
     """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, good, bad), each of which sums to 1 or is 0."""
     out = edges.groupBy(F.col("src").alias("o")).agg(F.sum("weight").alias("w_out"))
     into = edges.groupBy(F.col("dst").alias("i")).agg(F.sum("weight").alias("w_in"))
-    edges = written(edges.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select("src", "dst", (F.col("weight") / F.col("w_out")).alias("along"), (F.col("weight") / F.col("w_in")).alias("against")), "edges")
+    edges = written(
+        edges.join(out, F.col("src") == F.col("o")).join(into, F.col("dst") == F.col("i")).select(
+            "src", "dst", (F.col("weight") / F.col("w_out")).alias("along"), (F.col("weight") / F.col("w_in")).alias("against"),
+        ),
+        "edges",
+    )
     ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for step in range(steps):
-        good = edges.join(ranks.where("trust > 0"), F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("along") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
-        bad = edges.join(ranks.where("distrust > 0"), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("against") * F.col("distrust") * damping).alias("distrust"))
-        moved = good.union(bad).union(seeds.select("host", F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        good = edges.join(ranks.where("trust > 0"), F.col("src") == F.col("host")).select(
+            F.col("dst").alias("host"), (F.col("along") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"),
+        )
+        bad = edges.join(ranks.where("distrust > 0"), F.col("dst") == F.col("host")).select(
+            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("against") * F.col("distrust") * damping).alias("distrust"),
+        )
+        moved = good.union(bad).union(seeds.select("host", F.lit(0.0), F.lit(0.0))).groupBy("host").agg(
+            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"),
+        )
         moved = written(moved, "ranks")
         kept = moved.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
         # what did not arrive anywhere, and what is not handed on, goes to the seeds
-        own = seeds.select(F.col("host").alias("h"), (F.col("good") * (1 - (kept["t"] or 0.0))).alias("g"), (F.col("bad") * (1 - (kept["d"] or 0.0))).alias("b"))
-        before, ranks = ranks, moved.join(own, F.col("host") == F.col("h"), "left").select("host", (F.col("trust") + F.coalesce("g", F.lit(0.0))).alias("trust"), (F.col("distrust") + F.coalesce("b", F.lit(0.0))).alias("distrust"))
+        own = seeds.select(
+            F.col("host").alias("h"), (F.col("good") * (1 - (kept["t"] or 0.0))).alias("g"), (F.col("bad") * (1 - (kept["d"] or 0.0))).alias("b"),
+        )
+        before, ranks = ranks, moved.join(own, F.col("host") == F.col("h"), "left").select(
+            "host", (F.col("trust") + F.coalesce("g", F.lit(0.0))).alias("trust"), (F.col("distrust") + F.coalesce("b", F.lit(0.0))).alias("distrust"),
+        )
         if (step + 1) % every == 0 or step + 1 == steps:
             both = ranks.union(before.select("host", -F.col("trust"), -F.col("distrust")))
             change = both.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0
@@ -98,18 +122,31 @@ def judged(pages: DataFrame, rules: DataFrame, least: float = 1.0, **how) -> Dat
     light = written(pages.select("page_id", host.alias("host"), path.alias("path")), "urls")
     fit = written(host_rules(light.select("host").distinct(), rules), "rules")
     ruled = light.join(fit.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").withColumn("best", best_rule(F.col("rules"), F.col("path")))
-    hosts = written(ruled.groupBy("host").agg(F.count("*").alias("pages"), F.count(F.when(F.col("best.verdict") == "allow", 1)).alias("good"), F.count(F.when(F.col("best.verdict") == "block", 1)).alias("bad")), "hosts")
+    hosts = written(
+        ruled.groupBy("host").agg(
+            F.count("*").alias("pages"),
+            F.count(F.when(F.col("best.verdict") == "allow", 1)).alias("good"),
+            F.count(F.when(F.col("best.verdict") == "block", 1)).alias("bad"),
+        ),
+        "hosts",
+    )
     lead = (F.col("good") - F.col("bad")) / F.col("pages")
-    raw = hosts.where("host != ''").select("host", F.greatest(lead, F.lit(0.0)).alias("good"), F.when(F.col("bad") * 2 > F.col("pages"), F.greatest(-lead, F.lit(0.0))).otherwise(0.0).alias("bad"))
+    raw = hosts.where("host != ''").select(
+        "host", F.greatest(lead, F.lit(0.0)).alias("good"), F.when(F.col("bad") * 2 > F.col("pages"), F.greatest(-lead, F.lit(0.0))).otherwise(0.0).alias("bad"),
+    )
     sums = raw.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count("*").alias("n")).first()
     seeds = written(raw.select("host", (F.col("good") / F.lit(sums["g"] or 1.0)).alias("good"), (F.col("bad") / F.lit(sums["b"] or 1.0)).alias("bad")), "seeds")
     edges = host_edges(pages.select(host.alias("host"), "html"), hosts)
     ranks = spread(edges, seeds, **how)
     n = float(max(1, sums["n"]))
-    per_host = hosts.select(F.col("host").alias("h")).join(fit.withColumnRenamed("host", "f"), F.col("h") == F.col("f"), "left").join(ranks, F.col("h") == F.col("host"), "left").select("h", "rules", F.coalesce("trust", F.lit(0.0)).alias("host_trust"), F.coalesce("distrust", F.lit(0.0)).alias("host_distrust"))
+    per_host = hosts.select(F.col("host").alias("h")).join(fit.withColumnRenamed("host", "f"), F.col("h") == F.col("f"), "left").join(ranks, F.col("h") == F.col("host"), "left").select(
+        "h", "rules", F.coalesce("trust", F.lit(0.0)).alias("host_trust"), F.coalesce("distrust", F.lit(0.0)).alias("host_distrust"),
+    )
     by_graph = F.when((F.col("host_distrust") > F.col("host_trust")) & (F.col("host_distrust") * n > least), "block").otherwise("allow")
     best = best_rule(F.col("rules"), F.col("path"))
-    return light.join(per_host, F.col("host") == F.col("h")).select("page_id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], by_graph).alias("verdict"), "host_trust", "host_distrust")
+    return light.join(per_host, F.col("host") == F.col("h")).select(
+        "page_id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], by_graph).alias("verdict"), "host_trust", "host_distrust",
+    )
 
 
 def op7_link_graph(spark, sf_dir: str) -> DataFrame:
