@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from folio.sources.schema import Attribute, ClassModel, col
 
 IV = 12
-STORED = T.StructType([T.StructField("__enc", T.BooleanType()), T.StructField("iv", T.StringType()), T.StructField("data", T.StringType()), T.StructField("alg", T.StringType())])
+STORED = T.StructType(
+    [T.StructField("__enc", T.BooleanType()), T.StructField("iv", T.StringType()), T.StructField("data", T.StringType()), T.StructField("alg", T.StringType())]
+)
 
 
 def key_column(spark: SparkSession, key: bytes) -> Column:

@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = {"string": (T.StringType,), "number": (T.NumericType,), "boolean": (T.BooleanType,), "array": (T.ArrayType,), "object": (T.StructType, T.MapType), "date": (T.DateType, T.TimestampType, T.TimestampNTZType)}
+KINDS = {
+    "string": (T.StringType,),
+    "number": (T.NumericType,),
+    "boolean": (T.BooleanType,),
+    "array": (T.ArrayType,),
+    "object": (T.StructType, T.MapType),
+    "date": (T.DateType, T.TimestampType, T.TimestampNTZType),
+}
 
 
 def sure(c: Column) -> Column:
@@ -84,7 +91,9 @@ def selector(condition: dict, schema: T.StructType) -> Column:
     return every(parts)
 
 
-def find(df: DataFrame, condition: dict | None = None, fields: list[str] | None = None, sort: list[str] | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+def find(
+    df: DataFrame, condition: dict | None = None, fields: list[str] | None = None, sort: list[str] | None = None, skip: int = 0, limit: int | None = None,
+) -> DataFrame:
     """Rows that meet a selector. sort: names, descending with a leading -. A page (skip, limit) needs a sort to be defined."""
     out = df.where(selector(condition or {}, df.schema))
     if sort:

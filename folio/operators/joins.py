@@ -47,7 +47,9 @@ def array_join(left: DataFrame, right: DataFrame, array: str, key: str = "_id",
 
 def keyed_array_match(left: DataFrame, right: DataFrame, array: str, row_key: list[str], key: str = "_id", negate: bool = False) -> DataFrame:
     """left rows with (or, negated, without) a match in right, where row_key identifies a left row: only keys are exploded."""
-    hits = left.select(*row_key, F.explode(array).alias("__item")).join(right.select(F.col(key).alias("__key")), F.col("__item") == F.col("__key"), "left_semi").select(*row_key).distinct()
+    hits = left.select(*row_key, F.explode(array).alias("__item")).join(
+        right.select(F.col(key).alias("__key")), F.col("__item") == F.col("__key"), "left_semi",
+    ).select(*row_key).distinct()
     return left.join(hits, row_key, "left_anti" if negate else "left_semi")
 
 

@@ -27,7 +27,9 @@ class Session:
     groups: tuple[str, ...] = ()
 
     def column(self) -> Column:
-        return F.struct(F.lit(self.username).alias("username"), F.lit(self.user_id).alias("userId"), F.array(*map(F.lit, self.groups)).cast("array<string>").alias("groups"))
+        return F.struct(
+            F.lit(self.username).alias("username"), F.lit(self.user_id).alias("userId"), F.array(*map(F.lit, self.groups)).cast("array<string>").alias("groups"),
+        )
 
 
 @dataclass(frozen=True)

@@ -29,7 +29,9 @@ class Domain:
 
     def reference_side(self, cls: str) -> str:
         """The side of cls as the holder of a reference attribute; an error where the cardinality forbids it."""
-        allowed = {"1:1": {self.source: "source", self.target: "target"}, "1:N": {self.target: "target"}, "N:1": {self.source: "source"}, "N:N": {}}[self.cardinality]
+        allowed = {
+            "1:1": {self.source: "source", self.target: "target"}, "1:N": {self.target: "target"}, "N:1": {self.source: "source"}, "N:N": {},
+        }[self.cardinality]
         if cls not in allowed:
             raise ValueError(f"{cls} can't hold a reference of {self.name} ({self.cardinality})")
         return allowed[cls]
@@ -37,7 +39,13 @@ class Domain:
 
 def edges_of(domain: Domain, pairs: DataFrame) -> DataFrame:
     """Edge rows from (sourceId, targetId)."""
-    return pairs.select(F.lit(domain.name).alias("~domain"), F.lit(domain.source).alias("sourceClass"), F.lit(domain.target).alias("targetClass"), F.col("sourceId").cast("string").alias("sourceId"), F.col("targetId").cast("string").alias("targetId"))
+    return pairs.select(
+        F.lit(domain.name).alias("~domain"),
+        F.lit(domain.source).alias("sourceClass"),
+        F.lit(domain.target).alias("targetClass"),
+        F.col("sourceId").cast("string").alias("sourceId"),
+        F.col("targetId").cast("string").alias("targetId"),
+    )
 
 
 def reference_edges(domain: Domain, docs: DataFrame, cls: str, column: str) -> DataFrame:
@@ -61,16 +69,24 @@ def broken_edges(domain: Domain, edges: DataFrame, source: DataFrame, target: Da
     """Edges of the domain whose classes don't fit or whose documents are missing, with the reason."""
     own = edges.where(F.col("`~domain`") == domain.name)
     wrong = own.where((F.col("sourceClass") != domain.source) | (F.col("targetClass") != domain.target)).withColumn("reason", F.lit("class"))
-    lost = [own.join(side.select(F.col("_id").alias("__id")), F.col(key) == F.col("__id"), "left_anti").withColumn("reason", F.lit(key)) for key, side in (("sourceId", source), ("targetId", target))]
+    lost = [own.join(
+        side.select(F.col("_id").alias("__id")), F.col(key) == F.col("__id"), "left_anti",
+    ).withColumn("reason", F.lit(key)) for key, side in (("sourceId", source), ("targetId", target))]
     return wrong.unionByName(lost[0]).unionByName(lost[1])
 
 
 def add_edges(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """stored and those of fresh that it lacks; adding an edge twice changes nothing."""
-    new = fresh.dropDuplicates([c.strip("`") for c in EDGE]).join(stored.select("`~domain`", "sourceId", "targetId"), ["~domain", "sourceId", "targetId"], "left_anti")
+    new = fresh.dropDuplicates([c.strip("`") for c in EDGE]).join(
+        stored.select("`~domain`", "sourceId", "targetId"), ["~domain", "sourceId", "targetId"], "left_anti",
+    )
     return stored.unionByName(new.select(*EDGE))
 
 
 def remove_edges(stored: DataFrame, domain: str, pairs: DataFrame) -> DataFrame:
     """stored without the domain's edges of the given (sourceId, targetId)."""
-    return stored.join(pairs.select(F.lit(domain).alias("~domain"), F.col("sourceId").cast("string").alias("sourceId"), F.col("targetId").cast("string").alias("targetId")), ["~domain", "sourceId", "targetId"], "left_anti")
+    return stored.join(
+        pairs.select(F.lit(domain).alias("~domain"), F.col("sourceId").cast("string").alias("sourceId"), F.col("targetId").cast("string").alias("targetId")),
+        ["~domain", "sourceId", "targetId"],
+        "left_anti",
+    )

@@ -55,4 +55,6 @@ def sequential_ids(df: DataFrame, prefix: str, last: int, column: str = "_id") -
     for part, n in counts:
         starts[part], at = at, at + n
     offsets = df.sparkSession.createDataFrame(list(starts.items()) or [(0, last)], "p int, start long")
-    return rows.join(F.broadcast(offsets), F.col("__part") == F.col("p")).withColumn(column, F.concat(F.lit(prefix + "-"), (F.col("start") + F.col("__row") + 1).cast("string"))).drop("__part", "__row", "p", "start")
+    return rows.join(F.broadcast(offsets), F.col("__part") == F.col("p")).withColumn(
+        column, F.concat(F.lit(prefix + "-"), (F.col("start") + F.col("__row") + 1).cast("string")),
+    ).drop("__part", "__row", "p", "start")

@@ -20,7 +20,9 @@ from folio.streaming.feeds import current, last_batch, live_view, replicate, win
 PART = ClassModel(
     "part",
     (
-        Attribute("p_partkey", "integer", mandatory=True, primary_key=True), Attribute("p_name", max_length=12), Attribute("p_brand", "enum", values=("Brand#1", "Brand#2", "Brand#3")),
+        Attribute("p_partkey", "integer", mandatory=True, primary_key=True), Attribute("p_name", max_length=12), Attribute(
+            "p_brand", "enum", values=("Brand#1", "Brand#2", "Brand#3"),
+        ),
         Attribute("p_size", "integer", min=5, max=45), Attribute("p_retailprice", "decimal", precision=1),
     ),
 )
@@ -35,7 +37,10 @@ def rule_counts(spark, d):
     return validation.rule_counts(tables(spark, d, "part"), PART)
 
 
-@query("m1_valid_rows", "SELECT p_partkey FROM part WHERE length(p_name) <= 12 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_size BETWEEN 5 AND 45 AND p_retailprice = round(p_retailprice, 1)")
+@query(
+    "m1_valid_rows",
+    "SELECT p_partkey FROM part WHERE length(p_name) <= 12 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_size BETWEEN 5 AND 45 AND p_retailprice = round(p_retailprice, 1)",
+)
 def valid_rows(spark, d):
     return validation.with_violations(tables(spark, d, "part"), PART).where(F.size("violations") == 0).select("p_partkey")
 
@@ -46,7 +51,10 @@ def missing(spark, d):
     return validation.missing_targets(orders, "o_custkey", customer.where("c_acctbal >= 0"), "c_custkey").select("o_orderkey")
 
 
-@query("m3_key_clashes", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49 AND (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 GROUP BY 1 HAVING count(*) > 1) OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")
+@query(
+    "m3_key_clashes",
+    "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49 AND (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 GROUP BY 1 HAVING count(*) > 1) OR l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))",
+)
 def clashes(spark, d):
     fresh = tables(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey")
     stored = tables(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -65,15 +73,26 @@ def domain_scan(spark, d):
     return _supply_edges(spark, d).where("`~domain` = 'supplies'").select(F.col("`~domain`").alias("domain"), "sourceId", "targetId").distinct()
 
 
-@query("m6_cardinality", "SELECT 'targetId' AS side, l_partkey::VARCHAR AS id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1")
+@query(
+    "m6_cardinality",
+    "SELECT 'targetId' AS side, l_partkey::VARCHAR AS id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1",
+)
 def cardinality(spark, d):
     return relations.cardinality_clashes(SUPPLIES, _supply_edges(spark, d))
 
 
-@query("m10_broken_edges", "SELECT DISTINCT 'targetId' AS reason, l_partkey::VARCHAR AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)")
+@query(
+    "m10_broken_edges",
+    "SELECT DISTINCT 'targetId' AS reason, l_partkey::VARCHAR AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)",
+)
 def broken(spark, d):
     s, p = tables(spark, d, "supplier", "part")
-    found = relations.broken_edges(SUPPLIES, _supply_edges(spark, d), s.select(F.col("s_suppkey").cast("string").alias("_id")), p.where("p_size > 3").select(F.col("p_partkey").cast("string").alias("_id")))
+    found = relations.broken_edges(
+        SUPPLIES,
+        _supply_edges(spark, d),
+        s.select(F.col("s_suppkey").cast("string").alias("_id")),
+        p.where("p_size > 3").select(F.col("p_partkey").cast("string").alias("_id")),
+    )
     return found.select("reason", F.col("targetId").alias("id")).distinct()
 
 
@@ -93,14 +112,22 @@ def reference(spark, d):
     return relations.reference_edges(holds, docs, "nation", "region").select("sourceId", "targetId")
 
 
-@query("m11_schema_propagation", "SELECT s_suppkey, s_name, CAST(s_acctbal AS BIGINT) AS s_acctbal, 'new' AS note, NULL::VARCHAR AS phone FROM supplier WHERE s_acctbal = floor(s_acctbal) UNION ALL SELECT s_suppkey, s_name, CAST(trunc(s_acctbal) AS BIGINT), 'new', NULL FROM supplier WHERE s_acctbal <> floor(s_acctbal)")
+@query(
+    "m11_schema_propagation",
+    "SELECT s_suppkey, s_name, CAST(s_acctbal AS BIGINT) AS s_acctbal, 'new' AS note, NULL::VARCHAR AS phone FROM supplier WHERE s_acctbal = floor(s_acctbal) UNION ALL SELECT s_suppkey, s_name, CAST(trunc(s_acctbal) AS BIGINT), 'new', NULL FROM supplier WHERE s_acctbal <> floor(s_acctbal)",
+)
 def schema_change(spark, d):
-    old = ClassModel("supplier", (Attribute("s_suppkey", "integer"), Attribute("s_name"), Attribute("s_nationkey", "integer"), Attribute("s_acctbal", "decimal")))
+    old = ClassModel(
+        "supplier", (Attribute("s_suppkey", "integer"), Attribute("s_name"), Attribute("s_nationkey", "integer"), Attribute("s_acctbal", "decimal")),
+    )
     new = old.without_attribute("s_nationkey").with_attribute(Attribute("note", default="new")).with_attribute(Attribute("phone")).with_attribute(Attribute("s_acctbal", "integer"))
     return validation.propagate(tables(spark, d, "supplier"), old, new).select("s_suppkey", "s_name", "s_acctbal", "note", "phone")
 
 
-@query("m12_latest_by_id", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+@query(
+    "m12_latest_by_id",
+    "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
+)
 def latest_by_id(spark, d):
     return latest(tables(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
@@ -108,7 +135,9 @@ def latest_by_id(spark, d):
 @query("s11_upsert_merge", "SELECT c.c_custkey, c_name, CASE WHEN c.c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer c")
 def upsert(spark, d):
     stored = tables(spark, d, "customer").select(F.col("c_custkey"), "c_name", "c_acctbal").withColumn("_rev", F.lit(1))
-    changed = merge(stored.drop("_rev"), stored.where("c_custkey % 3 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")), "c_custkey").withColumn("_rev", F.lit(2))
+    changed = merge(
+        stored.drop("_rev"), stored.where("c_custkey % 3 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")), "c_custkey",
+    ).withColumn("_rev", F.lit(2))
     return latest(stored.unionByName(changed), "c_custkey").drop("_rev")
 
 
@@ -128,7 +157,11 @@ def ids(spark, d):
 
 @query("f8_policy_base", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'")
 def policy_base(spark, d):
-    rules = [Policy("customer", "c_acctbal > 0"), Policy("customer", "c_mktsegment = upper(session.username)"), Policy("customer", "false", operations=("write",))]
+    rules = [
+        Policy("customer", "c_acctbal > 0"),
+        Policy("customer", "c_mktsegment = upper(session.username)"),
+        Policy("customer", "false", operations=("write",)),
+    ]
     return allowed(tables(spark, d, "customer"), rules, "customer", Session("building")).select("c_custkey")
 
 
@@ -137,7 +170,9 @@ def policy_for_others(spark, d):
     rules = [Policy("customer", "true"), Policy("customer", "true", group="nobody")]
     customer = tables(spark, d, "customer")
     read = allowed(customer, rules, "customer", Session("building")).groupBy(F.col("c_mktsegment").alias("s")).count()
-    return customer.groupBy("c_mktsegment").count().join(read, F.col("c_mktsegment") == F.col("s"), "left").select("c_mktsegment", F.col("s").isNotNull().alias("readable"), F.lit(True).alias("in_table"))
+    return customer.groupBy("c_mktsegment").count().join(read, F.col("c_mktsegment") == F.col("s"), "left").select(
+        "c_mktsegment", F.col("s").isNotNull().alias("readable"), F.lit(True).alias("in_table"),
+    )
 
 
 @query("f10_policy_targeted", "SELECT c_custkey FROM customer WHERE c_nationkey = 4")
@@ -148,7 +183,9 @@ def policy_targeted(spark, d):
 
 @query("f8_policy_null_denies", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
 def policy_null(spark, d):
-    return allowed(tables(spark, d, "orders"), [Policy("orders", "CASE WHEN o_totalprice > 100000 THEN true END")], "orders", Session("ann")).select("o_orderkey")
+    return allowed(
+        tables(spark, d, "orders"), [Policy("orders", "CASE WHEN o_totalprice > 100000 THEN true END")], "orders", Session("ann"),
+    ).select("o_orderkey")
 
 
 SECRET = ClassModel("customer", (Attribute("c_custkey", "integer"), Attribute("c_name", encrypted=True), Attribute("c_acctbal", "decimal", encrypted=True)))
@@ -173,12 +210,18 @@ def without_key(spark, d):
 
 @query("f12_sealed_shape", "SELECT c_custkey, true AS sealed, 16 AS iv_length, 'AES-GCM' AS alg FROM customer")
 def sealed_shape(spark, d):
-    return _sealed(spark, d).select("c_custkey", F.col("c_name.__enc").alias("sealed"), F.length("c_name.iv").alias("iv_length"), F.col("c_name.alg").alias("alg"))
+    return _sealed(spark, d).select(
+        "c_custkey", F.col("c_name.__enc").alias("sealed"), F.length("c_name.iv").alias("iv_length"), F.col("c_name.alg").alias("alg"),
+    )
 
 
 @query("f1_triggers", "SELECT o_orderkey, o_totalprice > 100000 AS big, o_totalprice * 2 AS gross FROM orders")
 def triggers(spark, d):
-    hooks = [Trigger("flag", "orders", sets={"big": "o_totalprice > 100000"}), Trigger("gross", "orders", run=lambda df: df.withColumn("gross", F.col("o_totalprice") * 2)), Trigger("nothing", "orders", run=lambda df: None)]
+    hooks = [
+        Trigger("flag", "orders", sets={"big": "o_totalprice > 100000"}),
+        Trigger("gross", "orders", run=lambda df: df.withColumn("gross", F.col("o_totalprice") * 2)),
+        Trigger("nothing", "orders", run=lambda df: None),
+    ]
     return apply_triggers(tables(spark, d, "orders"), hooks, "orders", "before").select("o_orderkey", "big", "gross")
 
 
@@ -194,7 +237,10 @@ def change_feed(spark, d):
     return spark.read.parquet(f"{path}/data").select(*feed.columns)
 
 
-@query("r4_live_view", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND value > 20")
+@query(
+    "r4_live_view",
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND value > 20",
+)
 def live(spark, d):
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     feed = _event_stream(spark, d).select("user_id", "event_id", "value")

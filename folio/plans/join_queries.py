@@ -23,7 +23,10 @@ def array_inner(spark, d):
 LONELY = f"SELECT l_orderkey, NULL::BIGINT, NULL::VARCHAR FROM {BASKET} WHERE NOT list_has_any(parts, (SELECT list(p_partkey) FROM {SMALL}))"
 
 
-@query("j2_array_left", f"SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(parts) AS item FROM {BASKET}) JOIN {SMALL} ON item = p_partkey UNION ALL {LONELY}")
+@query(
+    "j2_array_left",
+    f"SELECT l_orderkey, p_partkey, p_name FROM (SELECT l_orderkey, unnest(parts) AS item FROM {BASKET}) JOIN {SMALL} ON item = p_partkey UNION ALL {LONELY}",
+)
 def array_left(spark, d):
     return array_join(baskets(spark, d), small_parts(spark, d), "parts", "p_partkey", "left").select("l_orderkey", "p_partkey", "p_name")
 
@@ -83,12 +86,21 @@ def named_parts(spark, d):
 
 
 _sql("j7_semi_equi", "SELECT c_custkey FROM customer AS c WHERE EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-_sql("j7_anti_equi", "SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
+_sql(
+    "j7_anti_equi",
+    "SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
+)
 _sql("j8_inner_equi", "SELECT o.o_orderkey, c.c_name FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
 _sql("j8_left_equi", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000")
 _sql("j8_right_equi", "SELECT s.s_suppkey, n.n_name FROM supplier AS s RIGHT JOIN nation AS n ON s.s_nationkey = n.n_nationkey")
-_sql("j9_null_extended", "SELECT c.c_custkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000 WHERE o.o_orderkey IS NULL")
-_sql("j11_self_join", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+_sql(
+    "j9_null_extended",
+    "SELECT c.c_custkey FROM customer AS c LEFT JOIN orders AS o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000 WHERE o.o_orderkey IS NULL",
+)
+_sql(
+    "j11_self_join",
+    "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+)
 
 
 @query("j10_relation_join", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
@@ -99,13 +111,24 @@ def by_relation(spark, d):
 
 
 _sql("qa_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
-_sql("qb_correlated_scalar", "SELECT o.o_orderkey FROM orders AS o WHERE o.o_totalprice >= (SELECT MAX(i.o_totalprice) FROM orders AS i WHERE i.o_custkey = o.o_custkey)")
-_sql("qc_exists_many_predicates", "SELECT s_suppkey FROM supplier AS s WHERE EXISTS (SELECT 1 FROM customer AS c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > s.s_acctbal)")
+_sql(
+    "qb_correlated_scalar",
+    "SELECT o.o_orderkey FROM orders AS o WHERE o.o_totalprice >= (SELECT MAX(i.o_totalprice) FROM orders AS i WHERE i.o_custkey = o.o_custkey)",
+)
+_sql(
+    "qc_exists_many_predicates",
+    "SELECT s_suppkey FROM supplier AS s WHERE EXISTS (SELECT 1 FROM customer AS c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > s.s_acctbal)",
+)
 _sql("qd_uncorrelated_exists", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 2)")
-_sql("qe_filtered_aggregate", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT MAX(o_totalprice) FROM orders WHERE o_orderstatus = 'F')")
+_sql(
+    "qe_filtered_aggregate",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT MAX(o_totalprice) FROM orders WHERE o_orderstatus = 'F')",
+)
 
 
-@query("qb_correlated_array_scalar", f"SELECT l_orderkey, (SELECT max(p_retailprice) FROM part WHERE list_contains(b.parts, p_partkey)) AS dearest FROM {BASKET} b")
+@query(
+    "qb_correlated_array_scalar", f"SELECT l_orderkey, (SELECT max(p_retailprice) FROM part WHERE list_contains(b.parts, p_partkey)) AS dearest FROM {BASKET} b",
+)
 def dearest_part(spark, d):
     # a correlated array predicate compares all pairs; the array join groups to the same
     part = tables(spark, d, "part").select("p_partkey", "p_retailprice")

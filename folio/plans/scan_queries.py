@@ -72,14 +72,34 @@ def _selector(name, table, condition, fields, where):
 
 _selector("sel_eq", "customer", {"c_mktsegment": "MACHINERY"}, ["c_custkey"], "c_mktsegment = 'MACHINERY'")
 _selector("sel_ne", "customer", {"c_mktsegment": {"$ne": "MACHINERY"}}, ["c_custkey"], "c_mktsegment <> 'MACHINERY'")
-_selector("sel_range", "lineitem", {"l_quantity": {"$gte": 10, "$lt": 20}}, ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity >= 10 AND l_quantity < 20")
-_selector("sel_in_nin", "orders", {"o_orderstatus": {"$in": ["F", "O"]}, "o_custkey": {"$nin": [1, 2, 3]}}, ["o_orderkey"], "o_orderstatus IN ('F', 'O') AND o_custkey NOT IN (1, 2, 3)")
+_selector(
+    "sel_range", "lineitem", {"l_quantity": {"$gte": 10, "$lt": 20}}, ["l_orderkey", "l_linenumber", "l_quantity"], "l_quantity >= 10 AND l_quantity < 20",
+)
+_selector(
+    "sel_in_nin",
+    "orders",
+    {"o_orderstatus": {"$in": ["F", "O"]}, "o_custkey": {"$nin": [1, 2, 3]}},
+    ["o_orderkey"],
+    "o_orderstatus IN ('F', 'O') AND o_custkey NOT IN (1, 2, 3)",
+)
 _selector("sel_exists", "documents", {"text": {"$exists": True}}, ["doc_id"], "text IS NOT NULL")
 _selector("sel_type", "part", {"p_size": {"$type": "number"}, "p_name": {"$type": "string"}}, ["p_partkey"], "p_size IS NOT NULL AND p_name IS NOT NULL")
 _selector("sel_regex", "part", {"p_name": {"$regex": "^(small|red) .*t$"}}, ["p_partkey", "p_name"], "regexp_matches(p_name, '^(small|red) .*t$')")
 _selector("sel_mod", "part", {"p_partkey": {"$mod": [7, 3]}}, ["p_partkey"], "p_partkey % 7 = 3")
-_selector("sel_and_or", "orders", {"$and": [{"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$lt": 5000}}]}, {"o_custkey": {"$gt": 100}}]}, ["o_orderkey"], "(o_orderstatus = 'F' OR o_totalprice < 5000) AND o_custkey > 100")
-_selector("sel_not_nor", "customer", {"$nor": [{"c_nationkey": 3}, {"c_acctbal": {"$lt": 0}}], "c_custkey": {"$not": {"$lt": 50}}}, ["c_custkey"], "NOT (c_nationkey = 3 OR c_acctbal < 0) AND NOT (c_custkey < 50)")
+_selector(
+    "sel_and_or",
+    "orders",
+    {"$and": [{"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$lt": 5000}}]}, {"o_custkey": {"$gt": 100}}]},
+    ["o_orderkey"],
+    "(o_orderstatus = 'F' OR o_totalprice < 5000) AND o_custkey > 100",
+)
+_selector(
+    "sel_not_nor",
+    "customer",
+    {"$nor": [{"c_nationkey": 3}, {"c_acctbal": {"$lt": 0}}], "c_custkey": {"$not": {"$lt": 50}}},
+    ["c_custkey"],
+    "NOT (c_nationkey = 3 OR c_acctbal < 0) AND NOT (c_custkey < 50)",
+)
 
 BASKET = "(SELECT l_orderkey, list(l_partkey) AS parts FROM lineitem GROUP BY l_orderkey)"
 
@@ -123,8 +143,17 @@ _sql("p8_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT I
 _sql("p9_conjunction", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_size < 30 AND p_retailprice > 905 AND p_partkey > 5")
 _sql("p12_column_to_column", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey")
 _sql("p13_or_like_between", "SELECT p_partkey FROM part WHERE (p_name LIKE '%1%' OR p_size BETWEEN 5 AND 9) AND p_brand <> 'Brand#1'")
-_sql("p14_case_cast_null", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size_class, CAST(o_custkey AS VARCHAR(20)) AS cust, o_orderpriority IS NULL AS no_priority FROM orders")
-_sql("p15_parameters", "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'", least=150000, status="F")
+_sql(
+    "p14_case_cast_null",
+    "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size_class, CAST(o_custkey AS VARCHAR(20)) AS cust, o_orderpriority IS NULL AS no_priority FROM orders",
+)
+_sql(
+    "p15_parameters",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status",
+    "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'",
+    least=150000,
+    status="F",
+)
 
 
 @query("p6_array_membership", f"SELECT l_orderkey FROM {BASKET} WHERE list_contains(parts, 17)")

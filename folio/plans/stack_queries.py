@@ -17,16 +17,36 @@ from folio.sources.stack import Stack
 from folio.sources.store import scratch
 from folio.streaming.feeds import change_feed, current, into_log, last_batch, live_view, replicate
 
-CUSTOMER = ClassModel("Customer", (Attribute("name", mandatory=True), Attribute("segment", mandatory=True), Attribute("balance", "decimal"), Attribute("phone", encrypted=True)))
-ORDER = ClassModel("Purchase", (Attribute("customer", "foreign_key", target="Customer", mandatory=True), Attribute("price", "decimal", min=0), Attribute("status", "enum", values=("F", "O", "P"))))
+CUSTOMER = ClassModel(
+    "Customer", (Attribute("name", mandatory=True), Attribute("segment", mandatory=True), Attribute("balance", "decimal"), Attribute("phone", encrypted=True)),
+)
+ORDER = ClassModel(
+    "Purchase",
+    (
+        Attribute("customer", "foreign_key", target="Customer", mandatory=True),
+        Attribute("price", "decimal", min=0),
+        Attribute("status", "enum", values=("F", "O", "P")),
+    ),
+)
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
-    return tables(spark, d, "customer").select(F.format_string("Customer-%d", "c_custkey").alias("_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.format_string("phone %d", "c_custkey").alias("phone"))
+    return tables(spark, d, "customer").select(
+        F.format_string("Customer-%d", "c_custkey").alias("_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_acctbal").alias("balance"),
+        F.format_string("phone %d", "c_custkey").alias("phone"),
+    )
 
 
 def purchases(spark: SparkSession, d: str) -> DataFrame:
-    return tables(spark, d, "orders").select(F.format_string("Purchase-%d", "o_orderkey").alias("_id"), F.format_string("Customer-%d", "o_custkey").alias("customer"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return tables(spark, d, "orders").select(
+        F.format_string("Purchase-%d", "o_orderkey").alias("_id"),
+        F.format_string("Customer-%d", "o_custkey").alias("customer"),
+        F.col("o_totalprice").alias("price"),
+        F.col("o_orderstatus").alias("status"),
+    )
 
 
 def stack_of(spark: SparkSession, d: str, orders: bool = False, **how) -> Stack:
@@ -48,9 +68,14 @@ def scan(spark, d):
     return stack_of(spark, d).scan("Customer").select("_id", "name", "segment", "balance")
 
 
-@query("stack_find_page", f"SELECT {ID} AS _id, c_acctbal AS balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000 ORDER BY c_acctbal DESC, _id LIMIT 20 OFFSET 10")
+@query(
+    "stack_find_page",
+    f"SELECT {ID} AS _id, c_acctbal AS balance FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000 ORDER BY c_acctbal DESC, _id LIMIT 20 OFFSET 10",
+)
 def find_page(spark, d):
-    return stack_of(spark, d).find("Customer", {"segment": "BUILDING", "balance": {"$gt": 1000}}, fields=["_id", "balance"], sort=["-balance", "_id"], skip=10, limit=20)
+    return stack_of(spark, d).find(
+        "Customer", {"segment": "BUILDING", "balance": {"$gt": 1000}}, fields=["_id", "balance"], sort=["-balance", "_id"], skip=10, limit=20,
+    )
 
 
 @query("stack_get", f"SELECT {ID} AS _id, c_name AS name FROM customer WHERE c_custkey IN (3, 14, 15)")
@@ -58,13 +83,23 @@ def get(spark, d):
     return stack_of(spark, d).get("Customer", "Customer-3", "Customer-14", "Customer-15", "Customer-999999999").select("_id", "name")
 
 
-@query("stack_sql_join", "SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS dearest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND o_orderstatus = 'F' GROUP BY 1")
+@query(
+    "stack_sql_join",
+    "SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS dearest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND o_orderstatus = 'F' GROUP BY 1",
+)
 def sql_join(spark, d):
     stack = stack_of(spark, d, orders=True)
-    return stack.sql("SELECT c.segment, COUNT(*) AS n, MAX(p.price) AS dearest FROM Purchase AS p JOIN Customer AS c ON p.customer = c._id WHERE p.price > ? AND p.status = ? GROUP BY c.segment", 50000, "F")
+    return stack.sql(
+        "SELECT c.segment, COUNT(*) AS n, MAX(p.price) AS dearest FROM Purchase AS p JOIN Customer AS c ON p.customer = c._id WHERE p.price > ? AND p.status = ? GROUP BY c.segment",
+        50000,
+        "F",
+    )
 
 
-@query("stack_update_and_delete", f"SELECT {ID} AS _id, c_mktsegment AS segment, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer WHERE c_acctbal >= 0")
+@query(
+    "stack_update_and_delete",
+    f"SELECT {ID} AS _id, c_mktsegment AS segment, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer WHERE c_acctbal >= 0",
+)
 def update_and_delete(spark, d):
     stack = stack_of(spark, d)
     stack.write("Customer", stack.scan("Customer").where("segment = 'MACHINERY'").select("_id", (F.col("balance") + 1).alias("balance")))
@@ -90,7 +125,10 @@ def push(spark, d):
     return stack.scan("Nation").select("name", "note")
 
 
-@query("stack_policies_in_subqueries", f"SELECT {ID} AS _id, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0) AS all_mine FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
+@query(
+    "stack_policies_in_subqueries",
+    f"SELECT {ID} AS _id, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0) AS all_mine FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000",
+)
 def policies(spark, d):
     stack = stack_of(spark, d)
     stack.policies += [Policy("Customer", "balance > 0"), Policy("Customer", "segment = upper(session.username)", operations=("read",))]
@@ -115,7 +153,10 @@ def keyless(spark, d):
 def triggers(spark, d):
     stack = Stack(spark, f"{scratch(spark)}/{uuid.uuid4().hex}")
     stack.create_class(CUSTOMER)
-    stack.triggers += [Trigger("upper", "Customer", sets={"name": "upper(name)"}), Trigger("double", "Customer", "after", sets={"balance": "round(balance * 2, 2)"})]
+    stack.triggers += [
+        Trigger("upper", "Customer", sets={"name": "upper(name)"}),
+        Trigger("double", "Customer", "after", sets={"balance": "round(balance * 2, 2)"}),
+    ]
     stack.write("Customer", customers(spark, d))
     return stack.scan("Customer").select("_id", "name", "balance")
 
@@ -131,7 +172,12 @@ def related(spark, d):
 @query("stack_replicated", f"SELECT {ID} AS _id, c_acctbal + (CASE WHEN c_nationkey = 5 THEN 10 ELSE 0 END) AS balance FROM customer")
 def replicated(spark, d):
     stack = stack_of(spark, d)
-    stack.write("Customer", tables(spark, d, "customer").where("c_nationkey = 5").select(F.format_string("Customer-%d", "c_custkey").alias("_id"), (F.col("c_acctbal") + 10).alias("balance")))
+    stack.write(
+        "Customer",
+        tables(spark, d, "customer").where("c_nationkey = 5").select(
+            F.format_string("Customer-%d", "c_custkey").alias("_id"), (F.col("c_acctbal") + 10).alias("balance"),
+        ),
+    )
     place = f"{scratch(spark)}/{uuid.uuid4().hex}"
     remote = DocumentLog(spark, place, CUSTOMER)
     replicate(change_feed(spark, f"{stack.path}/Customer", CUSTOMER.struct()), into_log(remote), f"{place}/checkpoint", seconds=None).awaitTermination()
@@ -149,7 +195,10 @@ def live(spark, d):
     return current(spark, f"{place}/view", last_batch(second)).select("_id", "balance")
 
 
-@query("s8_model_search", "SELECT name FROM (VALUES ('Customer', 'buyers'), ('Purchase', 'orders of customers'), ('Item', 'what is sold')) AS t(name, about) WHERE name ILIKE '%custom%' OR about ILIKE '%custom%'")
+@query(
+    "s8_model_search",
+    "SELECT name FROM (VALUES ('Customer', 'buyers'), ('Purchase', 'orders of customers'), ('Item', 'what is sold')) AS t(name, about) WHERE name ILIKE '%custom%' OR about ILIKE '%custom%'",
+)
 def model_search(spark, d):
     stack = Stack(spark, f"{scratch(spark)}/{uuid.uuid4().hex}")
     for name, about in (("Customer", "buyers"), ("Purchase", "orders of customers"), ("Item", "what is sold")):

@@ -20,7 +20,9 @@ from folio.sources.schema import SYSTEM, ClassModel, col
 
 def latest(log: DataFrame, key: str = "_id", order: str = "_rev") -> DataFrame:
     """The row of highest order for each key. max_by is aggregated before the shuffle, so a key of many revisions is no burden."""
-    return log.groupBy(key).agg(F.max_by(F.struct(*(col(c) for c in log.columns if c != key)), order).alias("__row")).select(key, "__row.*").select(*(col(c) for c in log.columns))
+    return log.groupBy(key).agg(
+        F.max_by(F.struct(*(col(c) for c in log.columns if c != key)), order).alias("__row")
+    ).select(key, "__row.*").select(*(col(c) for c in log.columns))
 
 
 def merge(old: DataFrame, new: DataFrame, key: str = "_id") -> DataFrame:

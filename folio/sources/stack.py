@@ -63,7 +63,16 @@ class Stack:
     # the catalog: classes, relations, policies and version; triggers and jobs are code and registered anew
     def save(self) -> None:
         """Appends the catalog to the stack's folder; open() reads the last."""
-        text = json.dumps({"classes": [asdict(c) for c in self.classes.values()], "domains": [asdict(d) for d in self.domains.values()], "policies": [asdict(p) for p in self.policies], "version": self.version, "encrypts": self.encrypts, "generation": self.generation})
+        text = json.dumps(
+            {
+                "classes": [asdict(c) for c in self.classes.values()],
+                "domains": [asdict(d) for d in self.domains.values()],
+                "policies": [asdict(p) for p in self.policies],
+                "version": self.version,
+                "encrypts": self.encrypts,
+                "generation": self.generation,
+            }
+        )
         number = (self._catalogs().agg(F.max("number")).first()[0] or 0) + 1
         self.spark.createDataFrame([(number, text)], "number long, text string").write.mode("append").parquet(f"{self.path}/~catalog")
 
@@ -177,7 +186,9 @@ class Stack:
     # storage
     def _struct(self, model: ClassModel) -> T.StructType:
         sealed = {a.name for a in model.encrypted} if self.encrypts else set()
-        return T.StructType([T.StructField(f.name, crypto.STORED, True) if f.name in sealed else T.StructField(f.name, f.dataType, True) for f in model.struct()])
+        return T.StructType(
+            [T.StructField(f.name, crypto.STORED, True) if f.name in sealed else T.StructField(f.name, f.dataType, True) for f in model.struct()]
+        )
 
     def _log(self, model: ClassModel) -> DocumentLog:
         generation = self.generation.get(model.name, 0)
@@ -255,7 +266,9 @@ class Stack:
         d = self.domains[domain]
         pack = lambda df, n: df.select(F.col("_id").alias(f"{n}_id"), F.struct(*(col(c) for c in df.columns)).alias(n))
         e = self.edges(domain).select("sourceId", "targetId").distinct()
-        return pack(self.scan(d.source), "source").join(e, F.col("source_id") == F.col("sourceId")).join(pack(self.scan(d.target), "target"), F.col("target_id") == F.col("targetId")).select("source", "target")
+        return pack(self.scan(d.source), "source").join(e, F.col("source_id") == F.col("sourceId")).join(
+            pack(self.scan(d.target), "target"), F.col("target_id") == F.col("targetId"),
+        ).select("source", "target")
 
     # writing
     def write(self, name: str, docs: DataFrame, validate: bool = True) -> int:
@@ -357,7 +370,12 @@ class Stack:
             for name, rows in patch.docs.items():
                 model = self.model(name)
                 fields = [f for f in model.struct() if any(f.name in r for r in rows)]
-                self.write(name, self.spark.createDataFrame([{f.name: r.get(f.name) for f in fields} for r in rows], T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])))
+                self.write(
+                    name,
+                    self.spark.createDataFrame(
+                        [{f.name: r.get(f.name) for f in fields} for r in rows], T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]),
+                    ),
+                )
             self.version = patch.version
             row = (patch.version, patch.target, patch.changelog, int(time.time() * 1000))
             self.spark.createDataFrame([row], PATCHES).write.mode("append").parquet(f"{self.path}/~patches")

@@ -73,7 +73,9 @@ def live_view(feed: DataFrame, path: str, checkpoint: str, keep: Column, key: st
         touched = [r[0] for r in dealt.select("__bucket").distinct().collect()]  # at most `buckets` numbers
         before = _folders(spark, path, number - 1)
         old = [before[b] for b in touched if b in before]
-        rows = dealt.unionByName(spark.read.schema(dealt.schema).parquet(*(f"{path}/{n}/bucket={b}" for b, n in zip([b for b in touched if b in before], old, strict=True)))) if old else dealt
+        rows = dealt.unionByName(
+            spark.read.schema(dealt.schema).parquet(*(f"{path}/{n}/bucket={b}" for b, n in zip([b for b in touched if b in before], old, strict=True)))
+        ) if old else dealt
         now = latest(rows, key, order).withColumns({"__seen": seen, "bucket": F.col("__bucket")})
         now.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{number}")
         after = before | dict.fromkeys(touched, number)
