@@ -154,7 +154,8 @@ def signatures(docs: DataFrame, bands: int = 24, rows: int = 5, shingle: int = 5
 
 
 def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """(same, items, counts) of texts (text): each one's distinct shingles, ascending, and their counts, as bytes."""
+    """(same, items, counts) of texts (text): each one's distinct shingles, ascending, and their counts, as bytes; counts that are
+    all 1 are left out."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,8 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 same += equal
                 items_out += [items[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)]
-                counts_out += [weight[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(hi - lo)]
+                owns = [weight[cut[i] : cut[i + 1]] for i in range(hi - lo)]
+                counts_out += [b"" if (w == 1).all() else w.astype(np.uint32).tobytes() for w in owns]
             yield pa.record_batch(
                 [pa.array(same, pa.binary()), pa.array(items_out, pa.binary()), pa.array(counts_out, pa.binary())], names=["same", "items", "counts"],
             )
@@ -240,7 +242,8 @@ def _tile_links(tile: pa.Table, threshold: float, each: bool = False) -> pa.Tabl
     """Links between the texts of side 0 and those of side 1 that are in other components: all, or of each text one to a component."""
     side, ids, roots = (np.asarray(tile.column(c).combine_chunks()) for c in ("side", "id", "root"))
     items = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("items")]
-    counts = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in tile.column("counts")]
+    given = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in tile.column("counts")]
+    counts = [c if len(c) else np.ones(len(i), np.int64) for c, i in zip(given, items, strict=True)]
     total = np.array([x.sum() for x in counts], np.int64)
     out: list[tuple[int, int]] = []
     order = np.flatnonzero(side == 1)
