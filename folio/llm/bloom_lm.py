@@ -68,7 +68,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def ngram_counts(docs: DataFrame, held: int = 3_000_000) -> DataFrame:
+def ngram_counts(docs: DataFrame, held: int = 2_000_000) -> DataFrame:
     """(gram, count) of all words and pairs of docs (text), summed within tasks as far as `held` n-grams reach."""
     small_batches(docs.sparkSession)
 
@@ -82,7 +82,7 @@ def ngram_counts(docs: DataFrame, held: int = 3_000_000) -> DataFrame:
 
         for batch in batches:
             data, offsets = K.views(batch.column("text"))
-            for lo, hi in K.blocks(offsets, 1 << 21):
+            for lo, hi in K.blocks(offsets, 1 << 20):
                 tokens, at = token_stream(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 waiting += [np.unique(tokens, return_counts=True), np.unique(pair_hash(before(tokens, at), tokens), return_counts=True)]
                 if sum(len(x[0]) for x in waiting) >= held:
@@ -325,7 +325,7 @@ def scores(docs: DataFrame, model: Model, strength: float = 256.0) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = K.views(batch.column("text"))
-            for lo, hi in K.blocks(offsets, 1 << 21):
+            for lo, hi in K.blocks(offsets, 1 << 20):
                 tokens, at = token_stream(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield row + np.arange(hi - lo), batch.column("doc_id").slice(lo, hi - lo).to_pylist(), tokens, at
                 row += hi - lo
