@@ -7,9 +7,10 @@ allow, less the share that they block, is its weight as a trusted seed if positi
 its pages are blocked. A host is blocked if it has more distrust than trust and more than `least` times an average host's.
 
 Each power step is two equi-joins of edges with ranks and one sum, which Spark aggregates before the shuffle, and its result
-is a written table, so that a lost executor costs one step. Rank that reaches a host without links on goes back to the seeds,
-so both ranks keep the sum 1. Steps are taken until one changes trust and distrust by less than `tolerance` in sum, which
-after n steps is at most 2 * damping**n; if `steps` of them don't reach that, it is an error.
+is a written table every second step, so that a lost executor costs few steps. Rank that reaches a host without links on is
+to go back to the seeds: the fixed point of that is in proportion to the one without, so ranks are divided by their sum at the
+end. Steps are taken until one changes trust and distrust by less than `tolerance` of their sums together; if `steps` of them
+don't reach that, it is an error.
 
 A null url or one without :// has empty host and path, fits no rule and is no node: it is allowed. Null html has no links.
 Repeated rows count as pages each and are judged alike. Where no page is a seed, only rules block. Of rules that fit, the
@@ -78,7 +79,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.union(ladder).where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float = 0.01, every: int = 3) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, steps: int = 100, damping: float = 0.85, tolerance: float = 0.01, every: int = 4) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, weight) and seeds (host, good, bad), each of which sums to 1 or is 0."""
     out = edges.groupBy(F.col("src").alias("o")).agg(F.sum("weight").alias("w_out"))
     into = edges.groupBy(F.col("dst").alias("i")).agg(F.sum("weight").alias("w_in"))
@@ -88,32 +89,30 @@ def spread(edges: DataFrame, seeds: DataFrame, steps: int = 100, damping: float
         ),
         "edges",
     )
+    own = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
     ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for step in range(steps):
+    relative = float("inf")
+    for step in range(1, steps + 1):
         good = edges.join(ranks.where("trust > 0"), F.col("src") == F.col("host")).select(
             F.col("dst").alias("host"), (F.col("along") * F.col("trust") * damping).alias("trust"), F.lit(0.0).alias("distrust"),
         )
         bad = edges.join(ranks.where("distrust > 0"), F.col("dst") == F.col("host")).select(
             F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("against") * F.col("distrust") * damping).alias("distrust"),
         )
-        moved = good.union(bad).union(seeds.select("host", F.lit(0.0), F.lit(0.0))).groupBy("host").agg(
-            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"),
-        )
-        moved = written(moved, "ranks")
-        kept = moved.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
-        # what did not arrive anywhere, and what is not handed on, goes to the seeds
-        own = seeds.select(
-            F.col("host").alias("h"), (F.col("good") * (1 - (kept["t"] or 0.0))).alias("g"), (F.col("bad") * (1 - (kept["d"] or 0.0))).alias("b"),
-        )
-        before, ranks = ranks, moved.join(own, F.col("host") == F.col("h"), "left").select(
-            "host", (F.col("trust") + F.coalesce("g", F.lit(0.0))).alias("trust"), (F.col("distrust") + F.coalesce("b", F.lit(0.0))).alias("distrust"),
-        )
-        if (step + 1) % every == 0 or step + 1 == steps:
-            both = ranks.union(before.select("host", -F.col("trust"), -F.col("distrust")))
-            change = both.groupBy("host").agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).agg(F.sum(F.abs("t") + F.abs("d"))).first()[0] or 0.0
-            if change <= tolerance:
-                return ranks
-    raise RuntimeError(f"ranks still change by {change} after {steps} steps")
+        now = own.union(good).union(bad).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        check = step % every == 0 or step == steps
+        before, ranks = ranks, written(now, "ranks") if check or step % 2 == 0 else now
+        if check:
+            both = ranks.select("host", "trust", "distrust", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+            both = both.union(before.select("host", F.lit(0.0), F.lit(0.0), -F.col("trust"), -F.col("distrust"))).groupBy("host").agg(
+                *(F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")),
+            )
+            r = both.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"), F.sum(F.abs("t")).alias("t"), F.sum(F.abs("d")).alias("d")).first()
+            relative = sum((r[c] or 0.0) / r[total] for c, total in (("t", "trust"), ("d", "distrust")) if r[total])
+            if relative <= tolerance:
+                sums = {c: r[c] or 1.0 for c in ("trust", "distrust")}
+                return ranks.select("host", *((F.col(c) / F.lit(n)).alias(c) for c, n in sums.items()))
+    raise RuntimeError(f"ranks still change by {relative} after {steps} steps")
 
 
 def judged(pages: DataFrame, rules: DataFrame, least: float = 1.0, **how) -> DataFrame:
